@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
-from symgrove.llm import packing, tokenizing
+from symgrove.llm import docpairs, hidden_text, packing, tokenizing
 from symgrove.session import cut, table
 
 
+def p1_found(spark, d):
+    """Functions whose own comment describes something."""
+    return docpairs.documented_functions(table(spark, d, "symbols")).select("symbol_id").distinct()
+
+
+def p1_pairs(spark, d):
+    """Code-description pairs."""
+    return docpairs.documented_functions(table(spark, d, "symbols"))
+
+
+def p4_found(spark, d):
+    """Languages of the running text in each row of symbols."""
+    return hidden_text.text_pieces(table(spark, d, "symbols")).select("symbol_id", "lang").distinct()
+
+
+def p4_shares(spark, d):
+    """Share of each language's running text in each file."""
+    return hidden_text.language_shares(table(spark, d, "symbols"))
+
+
 def p8_ids(spark, d):
     """Token ids of every document."""
     return tokenizing.encode_corpus(table(spark, d, "documents"))
@@ -27,6 +47,6 @@ def p9_waste(spark, d):
     return packing.pack_summary(p9_packs(spark, d), _profiles(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_packs, p9_waste)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_shares, p8_ids, p9_packs, p9_waste)}
 
 ORACLE: dict[str, str] = {}
