@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from symgrove.llm import docpairs, hidden_text, packing, tokenizing
+from symgrove.llm import docpairs, hidden_text, origin, packing, tokenizing
 from symgrove.session import cut, table
 
 
@@ -16,6 +16,16 @@ def p1_pairs(spark, d):
     return docpairs.documented_functions(table(spark, d, "symbols"))
 
 
+def p2_found(spark, d):
+    """Files that are generated, minified, copied in or data."""
+    return origin.file_origins(table(spark, d, "symbols")).filter("origin <> 'hand-written'").select("repo", "file_path")
+
+
+def p2_origins(spark, d):
+    """Every file with its cluster, evidence and verdict."""
+    return origin.file_origins(table(spark, d, "symbols"))
+
+
 def p4_found(spark, d):
     """Languages of the running text in each row of symbols."""
     return hidden_text.text_pieces(table(spark, d, "symbols")).select("symbol_id", "lang").distinct()
@@ -47,6 +57,6 @@ def p9_waste(spark, d):
     return packing.pack_summary(p9_packs(spark, d), _profiles(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_shares, p8_ids, p9_packs, p9_waste)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_origins, p4_found, p4_shares, p8_ids, p9_packs, p9_waste)}
 
 ORACLE: dict[str, str] = {}
