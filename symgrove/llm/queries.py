@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from symgrove.llm import docpairs, hidden_text, origin, packing, tokenizing
+from symgrove.llm import docpairs, hidden_text, markup, origin, packing, tokenizing
 from symgrove.session import cut, table
 
 
@@ -26,6 +26,16 @@ def p2_origins(spark, d):
     return origin.file_origins(table(spark, d, "symbols"))
 
 
+def p3_found(spark, d):
+    """Fields of doc_nodes in which markup stands."""
+    return markup.marked_fields(markup.clean_documents(table(spark, d, "doc_nodes")))
+
+
+def p3_clean(spark, d):
+    """Clean title and content of every row of doc_nodes."""
+    return markup.clean_documents(table(spark, d, "doc_nodes")).select("node_id", "clean_title", "clean_content")
+
+
 def p4_found(spark, d):
     """Languages of the running text in each row of symbols."""
     return hidden_text.text_pieces(table(spark, d, "symbols")).select("symbol_id", "lang").distinct()
@@ -57,6 +67,6 @@ def p9_waste(spark, d):
     return packing.pack_summary(p9_packs(spark, d), _profiles(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_origins, p4_found, p4_shares, p8_ids, p9_packs, p9_waste)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_origins, p3_found, p3_clean, p4_found, p4_shares, p8_ids, p9_packs, p9_waste)}
 
 ORACLE: dict[str, str] = {}
