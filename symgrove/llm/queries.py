@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from symgrove.llm import docpairs, hidden_text, markup, origin, packing, tokenizing
+from symgrove.llm import docpairs, hidden_text, markup, origin, packing, residue, tokenizing
 from symgrove.session import cut, table
 
 
@@ -67,6 +67,16 @@ def p9_waste(spark, d):
     return packing.pack_summary(p9_packs(spark, d), _profiles(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_origins, p3_found, p3_clean, p4_found, p4_shares, p8_ids, p9_packs, p9_waste)}
+def p10_found(spark, d):
+    """Documents that are residue."""
+    return residue.residue(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p10_labels(spark, d):
+    """Documents that are residue, with the kind and how much of the text it is."""
+    return residue.residue(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_origins, p3_found, p3_clean, p4_found, p4_shares, p8_ids, p9_packs, p9_waste, p10_found, p10_labels)}
 
 ORACLE: dict[str, str] = {}
