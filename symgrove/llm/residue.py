@@ -41,6 +41,7 @@ This page is no longer available. It may have been removed.
 403 Forbidden
 You don't have permission to access this resource.
 Access denied. You do not have permission to view this resource.
+Please log in again. Sign in to continue.
 401 Unauthorized. Authentication required.
 You must be signed in to view this page. Please log in.
 Your session has expired. Sign in again to continue reading.
@@ -98,12 +99,14 @@ Ihre Sitzung ist abgelaufen. Zu viele Anfragen. Wartungsarbeiten
 Erreur 404 : la page demandée est introuvable.
 Page non trouvée. Cette page n'existe pas ou a été déplacée.
 Accès refusé. Veuillez vous connecter pour lire ce document.
+Veuillez vous identifier à nouveau. Reconnectez-vous.
 Vous n'avez pas l'autorisation d'accéder à cette page.
 Erreur interne du serveur. Veuillez réessayer plus tard.
 Service temporairement indisponible. Site en maintenance. Votre session a expiré. Trop de requêtes
 Error 404: no se encontró la página solicitada.
 Página no encontrada. La página no existe o fue movida.
 Acceso denegado. Inicie sesión para ver este documento.
+Vuelva a iniciar sesión. Identifíquese de nuevo.
 No tiene permiso para acceder a esta página.
 Error interno del servidor. Vuelva a intentarlo más tarde.
 El servicio no está disponible en este momento. Sitio en mantenimiento. Su sesión ha caducado. Demasiadas solicitudes
@@ -117,6 +120,7 @@ URLをご確認ください。
 Ошибка 404. Запрошенная страница не найдена.
 Страница не найдена. Страница не существует или была перемещена.
 Доступ запрещён. Войдите снова, чтобы просмотреть документ.
+Войдите в систему ещё раз. Пожалуйста, авторизуйтесь.
 У вас нет прав для просмотра этой страницы.
 Внутренняя ошибка сервера. Повторите попытку позже.
 Сервис временно недоступен. Ведутся технические работы. Сеанс истёк. Слишком много запросов""",
