@@ -333,7 +333,7 @@ class Extractor:
             cut = _top(blanked, "=")
             brace = _top(blanked, "{")
             cut = min(x for x in (cut, brace, len(blanked)) if x >= 0)
-            decl_type, name = _split_declarator(blanked[:cut])
+            decl_type, name = _split_declarator(_commas(blanked[:cut])[0])
             name = squeeze(name) or "?"
             full = f"{parent}::{name}"
             t = self.type_of(decl_type)
