@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from html.entities import html5
 
 import pyarrow as pa
@@ -28,6 +29,7 @@ NOT_SHOWN = {"script", "style", "head", "noscript", "template"}
 
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?)*)\s*(/?)>")
 _COMMENT = re.compile(r"<!--.*?-->|<!DOCTYPE[^>]*>|<\?xml.*?\?>|<!\[CDATA\[|\]\]>", re.S | re.I)
+_CODE_SPAN = re.compile(r"^[ \t]{0,3}(```+|~~~+)[^\n]*\n.*?(?:^[ \t]{0,3}\1[ \t]*$|\Z)|(?<!`)`[^`\n]+`(?!`)|^\{(code|noformat)[^}\n]*\}[ \t]*\n.*?^\{\2\}", re.S | re.M)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|([A-Za-z][A-Za-z0-9]{1,31}));")
 
 _FENCE = re.compile(r"^\s{0,3}(?:(```+|~~~+)[^`]*$|\{(?:code|noformat)(?::[^}]*)?\}\s*$|\\begin\{(?:verbatim|lstlisting|minted)\}.*$)")
@@ -289,13 +291,27 @@ def _counts(text: str, m: re.Match, closed: set[str]) -> bool:
     return True
 
 
-def _tree(text: str, marks: Marks) -> Node | None:
-    """Element tree, or None for a text without tags."""
-    text, n = _COMMENT.subn("", text) if "<" in text else (text, 0)
-    if n:
-        marks.hit("html", n)
+def _tree(text: str, marks: Marks) -> Node:
+    """Element tree of a text; what stands in code fences and inline code is no tag."""
+    if "<" in text:
+        code = [m.span() for m in _CODE_SPAN.finditer(text)]
+
+        def in_code(at: int) -> bool:
+            i = bisect_right(code, (at, len(text))) - 1
+            return i >= 0 and code[i][0] <= at < code[i][1]
+
+        def comment(m):
+            if in_code(m.start()):
+                return m[0]
+            marks.hit("html")
+            return ""
+
+        text = _COMMENT.sub(comment, text)
+        code = [m.span() for m in _CODE_SPAN.finditer(text)]
+    else:
+        in_code = bool
     closed = {m[2].lower() for m in _TAG.finditer(text) if m[1]} & {m[2].lower() for m in _TAG.finditer(text) if not m[1]}
-    tags = [m for m in _TAG.finditer(text) if _counts(text, m, closed)]
+    tags = [m for m in _TAG.finditer(text) if _counts(text, m, closed) and not in_code(m.start())]
     root = Node("root")
     cur, at, link, pre, hidden = root, 0, 0, 0, 0
     for m in tags:
