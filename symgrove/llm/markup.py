@@ -55,14 +55,14 @@ _TEX_CMD = re.compile(r"\\(label|cite[a-z]*|ref|eqref|pageref|bibliography|usepa
 _TEX_TEXT = re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}")
 _TEX_SWITCH = re.compile(r"\{\\(?:tt|bf|it|em|sc|sl|rm|sf|small|large)\b\s*([^{}]*)\}")
 _MATH = (re.compile(r"\$\$(?=\S)(.+?)\$\$", re.S), re.compile(r"\\\[(.+?)\\\]", re.S), re.compile(r"\\\((.+?)\\\)", re.S))
-_MATH_1 = re.compile(r"(?<![\w$\\])\$(?=[^\s$\d])([^$\n]*?[^\s$\\])\$(?![\w$])|(?<![\w$\\])\$(?=\d)([^$\n]*?[\\^_=+][^$\n]*?[^\s$\\])\$(?![\w$])")
+_MATH_1 = re.compile(r"(?<![A-Za-z0-9_$\\])\$(?=[^\s$\d])([^$\n]*?[^\s$\\])\$(?![A-Za-z0-9_$])|(?<![A-Za-z0-9_$\\])\$(?=\d)([^$\n]*?[\\^_=+][^$\n]*?[^\s$\\])\$(?![A-Za-z0-9_$])")
 _MATHY = re.compile(r"[\\^_=+<>]|^[A-Za-z]$|\w\(\w|\d\s*[A-Za-z]|[A-Za-z]\s*[-*/]\s*[A-Za-z]")
 
 _INLINE_RULES: list[tuple[re.Pattern, str, str]] = [
     (re.compile(r"``(?=\S)(.+?)``|(?<!`)`([^`\n]+)`(?!`)"), r"\1\2", "markdown"),
     (re.compile(r"!\[([^\]\n]*)\]\([^)\n]*\)"), r"\1", "markdown"),
     (re.compile(r"\[([^\[\]\n]+)\]\((?=[^)\s]*[./#:])[^)\s]+(?:\s+\"[^\"]*\")?\)"), r"\1", "markdown"),
-    (re.compile(r"(?<![\w)\]\[])\[(?=[^\[\]\n]*[^\W\d_]{2})([^\[\]\n]+)\]\[(?=[^\[\]\n]*[^\W\d_]{2})[^\[\]\n]*\](?!\[)"), r"\1", "markdown"),
+    (re.compile(r"(?<![A-Za-z0-9_)\]\[])\[(?=[^\[\]\n]*[^\W\d_])([^\[\]\n]+)\]\[(?=[^\[\]\n]*[^\W\d_]{2})[^\[\]\n]*\](?!\[)"), r"\1", "markdown"),
     (re.compile(r"\[\^[\w-]+\]"), "", "markdown"),
     (re.compile(r"<((?:https?|ftp|mailto):[^\s<>]+)>"), r"\1", "markdown"),
     (re.compile(r"\[\[(?:File|Image|Datei|Fichier|Archivo|Файл|文件|ファイル):[^\]|]*(?:\|[^\]|]*)*?\|?([^\]|]*)\]\]", re.I), r"\1", "wiki"),
@@ -70,13 +70,13 @@ _INLINE_RULES: list[tuple[re.Pattern, str, str]] = [
     (re.compile(r"\[(?:https?|ftp)://[^\s\]]+\s+([^\]\n]+)\]"), r"\1", "wiki"),
     (re.compile(r"\{\{[^\W\d_][^{}|\n]*((?:\|[^{}\n]*)?)\}\}"), r"\1", "wiki"),
     (re.compile(r"'''''(?=\S)(.+?)'''''|'''(?=\S)(.+?)'''|(?<!')''(?=[^\s'])([^'\n](?:(?!'').)*?)''(?!')"), r"\1\2\3", "wiki"),
-    (re.compile(r"(?<![*\w\\])\*\*\*(?=[^\s*])(.+?)(?<=[^\s*])\*\*\*(?!\*)"), r"\1", "markdown"),
+    (re.compile(r"(?<![*A-Za-z0-9_\\])\*\*\*(?=[^\s*])(.+?)(?<=[^\s*])\*\*\*(?!\*)"), r"\1", "markdown"),
     (re.compile(r"(?<![*\\])\*\*(?=[^\s*])([^*\n]*?(?:\*[^*\n]+\*[^*\n]*?)?)(?<=[^\s*])\*\*(?!\*)"), r"\1", "markdown"),
     (re.compile(r"(?<!_)___(?=[^\s_])([^_\n]+?)(?<=\S)___(?!_)"), r"\1", "markdown"),
-    (re.compile(r"(?<![\w_])__(?=[^\s_])([^_\n]*?[^\w\n][^_\n]*?|[^_\n]*[^\x00-\x7f][^_\n]*)(?<=[^\s_])__(?![\w_])"), r"\1", "markdown"),
+    (re.compile(r"(?<![A-Za-z0-9_])__(?=[^\s_])([^_\n]*?[^\w\n][^_\n]*?|[^_\n]*[^\x00-\x7f][^_\n]*)(?<=[^\s_])__(?![A-Za-z0-9_])"), r"\1", "markdown"),
     (re.compile(r"~~(?=[^\s~])([^~\n]+?)(?<=\S)~~"), r"\1", "markdown"),
-    (re.compile(r"(?<![*\w\\(/])\*(?=[^\s*)\]])([^*\n]*?[^\s*(\[])\*(?![*\w(])"), r"\1", "markdown"),
-    (re.compile(r"(?<![\w_\\./-])_(?=[^\s_])([^_\n]*?[^\s_])_(?![\w_./(-])"), r"\1", "markdown"),
+    (re.compile(r"(?<![*A-Za-z0-9_\\(/])\*(?=[^\s*)\]])([^*\n]*?[^\s*(\[])\*(?![*A-Za-z0-9_(])"), r"\1", "markdown"),
+    (re.compile(r"(?<![A-Za-z0-9_\\./-])_(?=[^\s_])([^_\n]*?[^\s_])_(?![A-Za-z0-9_./(-])"), r"\1", "markdown"),
 ]
 
 

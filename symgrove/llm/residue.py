@@ -225,9 +225,9 @@ _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 
 #: Shapes of template variables, and names that are no template's.
 _VARIABLE = re.compile(
-    r"\{\{\{?\s*[^\W\d][\w.\s|-]*\}?\}\}|\{%-?\s*[^\W\d][\w.\s]*-?%\}|<%[=-]?\s*[\w.@\s]+-?%>|\$\{[^\W\d][\w.]*\}|#\{[^\W\d][\w.]*\}|@@[A-Za-z_]\w*@@|%\([A-Za-z_]\w*\)[sdif]|%[A-Z][A-Z]*(?:_[A-Z]+)*%|%%[A-Z_]+%%|(?<![\w.])__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?!\w)"
+    r"\{\{\{?\s*[^\W\d][\w.\s|-]*\}?\}\}|\{%-?\s*[^\W\d][\w.\s]*-?%\}|<%[=-]?\s*[\w.@\s]+-?%>|\$\{[^\W\d][\w.]*\}|#\{[^\W\d][\w.]*\}|@@[A-Za-z_]\w*@@|%\([A-Za-z_]\w*\)[sdif]|%[A-Z][A-Z]*(?:_[A-Z]+)*%|%%[A-Z_]+%%|(?<![A-Za-z0-9_.])__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?![A-Za-z0-9_])"
     r"|<(?:YOUR|INSERT|ENTER|ADD|TODO)[ _-][A-Z _-]+>|<(?:your|insert|enter)[ _-][a-z _-]+>|<[A-Z][A-Z_]*_(?:PLACEHOLDER|HERE|GOES_HERE|TBD)>|<PLACEHOLDER>|\[(?:YOUR|INSERT|ENTER|ADD|FILL IN)[ _][A-Z _]+\]|\[(?:[Yy]our|[Ii]nsert|[Ee]nter|[Ff]ill in) [\w -]+\]|\[[\w -]+ (?:goes here|to be (?:added|filled in)|here)\]|\[object Object\]|【请?(?:填写|输入|插入|补充)[^】]*】|\[(?:Ihr|Name hier|hier)[ \w-]*(?:einfügen|eintragen)\]|\[(?:votre|insérer)[ \w-]+\]|\[(?:su|inserte|insertar)[ \w-]+(?:aquí)?\]"
-    r"|(?<![\w$#%{\\\"'])\{[A-Za-z_][A-Za-z_]*\}(?![\w}])"
+    r"|(?<![A-Za-z0-9_$#%{\\\"'])\{[A-Za-z_][A-Za-z_]*\}(?![A-Za-z0-9_}])"
 )
 _NOT_VARIABLE = re.compile(
     r"^(?:\$\{(?:HOME|PATH|PWD|USER|SHELL|TMPDIR|TMP|TEMP|LANG|HOSTNAME|[A-Z]+_(?:HOME|ROOT|DIR|PATH))\}|%(?:PATH|HOME|USERPROFILE|APPDATA|LOCALAPPDATA|TEMP|TMP|SYSTEMROOT|WINDIR|PROGRAMFILES|COMSPEC|OS)%|__(?:FILE|LINE|FUNCTION|DATE|TIME|COUNTER|STDC|GNUC|VA_ARGS|BASE_FILE|PRETTY_FUNCTION|TIMESTAMP|OBJC|ELF|LP64|CUDACC|ASSEMBLER|VA_OPT)(?:_\w+)?__)$"

@@ -109,7 +109,7 @@ def test_text_frames(spark):
     assert H.language_shares(s.limit(0)).count() == 0
 
 
-MARKED = ["<b>x</b> y", "a<br/>b", "R&amp;D", "&#8211;", "# Head", "Title\n=====", "**bold** x", "~~old~~", "`code` x", "[a](b.md)", "![a](img/b.png)", "x[^1]", "> quote", "```\ncode\n```", "- [x] done", "* item one", "| a | b |\n|---|---|", "== head ==", "'''bold''' x", "''it'' x", "[[a|b]]", "{{note|x}}", "{| class=x", "[[Category:x]]", "\\section{x}", "\\textbf{x} y", "$O(n)$", "$$x^2$$", "\\[ a = b \\]", "x~\\cite{y}", "{\\tt x}", "\\item x", "<a href='x'>y</a>", "<!-- c -->", "{code}\nx\n{code}", "H<sub>2</sub>O", "[ab x][bc]", "*it is* so"]
+MARKED = ["<b>x</b> y", "a<br/>b", "R&amp;D", "&#8211;", "# Head", "Title\n=====", "**bold** x", "~~old~~", "`code` x", "[a](b.md)", "![a](img/b.png)", "x[^1]", "> quote", "```\ncode\n```", "- [x] done", "* item one", "| a | b |\n|---|---|", "== head ==", "'''bold''' x", "''it'' x", "[[a|b]]", "{{note|x}}", "{| class=x", "[[Category:x]]", "\\section{x}", "\\textbf{x} y", "$O(n)$", "$$x^2$$", "\\[ a = b \\]", "x~\\cite{y}", "{\\tt x}", "\\item x", "<a href='x'>y</a>", "<!-- c -->", "{code}\nx\n{code}", "H<sub>2</sub>O", "[ab x][bc]", "*it is* so", "复杂度$O(n)$的", "见[图表][ab]。", "这是*斜体*字"]
 PLAIN = ["a < b && c > d", "vector<int> v", "std::map<std::string, Page> m", "read <stdin> now", "see <header> or <source>", "costs $5 or $6", "$HOME is set", "R&D", "C# and F#", "a * b * c", "ptr* p", "(*p)[3]", "__main__", "snake_case_name", "a[i] = b[2]", "[36]", "C:\\data\\x\\y.idx", "~/.x/y", "#3754", "x|y", "{a, b}", "x^2 + y_1", "100% of it", "key=a;b=c", "- item", "1. item", "operator< for x", "Vec<T>", "header's", "a -> b", "[[nodiscard]] int f()", ""]
 
 
@@ -153,6 +153,8 @@ RESIDUE = [
     ("Maintained by {{owner}} since 2020.\n" + BODY, "template"),
     ("Version [version goes here]\n" + BODY, "template"),
     ("Welcome to <YOUR NAME>.\n" + BODY, "template"),
+    ("关于{module_title}的说明\n" + BODY, "template"),
+    ("关于__OWNER__的说明\n" + BODY, "template"),
 ]
 REAL = [BODY, "", "   ", "x", "....", "The gateway answers 404 Not Found when the index is missing; clients should retry.\n" + BODY, "Write `{{owner}}` inside code marks.\n" + BODY, "    title: {{owner}}\n" + BODY, "The macro __FILE__ expands to the path.\n" + BODY, "export X=${HOME}/y\n" + BODY, 'Old readers show "Please enable JavaScript" instead.\n' + BODY]
 
