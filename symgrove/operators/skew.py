@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,13 +22,6 @@ HOT_SHARE = 0.01
 HOT_ROWS = 100_000
 
 
-def same_key(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & a[k].eqNullSafe(b[k])
-    return cond
-
-
 def _local_numbers(keys: list[str]):
     """mapInArrow function: rows arrive sorted by key; add the position within the key's run."""
 
@@ -133,10 +126,9 @@ def chunked_gaps(df: DataFrame, keys: list[str], at: str, tie: str, chunk_rows:
     )
 
 
-def frequent_keys(per_key: DataFrame, field: str, share: float = 0.01) -> DataFrame:
-    """Keys whose ``n_rows`` is at least ``share`` of all rows of their ``field``."""
-    w = Window.partitionBy(field)
-    return per_key.withColumn("_all", F.sum("n_rows").over(w)).filter(F.col("n_rows") >= F.col("_all") * share).drop("_all")
+def frequent_keys(per_key: DataFrame, total: int, share: float = 0.01) -> DataFrame:
+    """Keys whose ``n_rows`` is at least ``share`` of ``total`` rows; none if there are no rows."""
+    return per_key.filter(F.col("n_rows") >= share * total) if total else per_key.limit(0)
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> list:

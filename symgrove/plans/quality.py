@@ -39,7 +39,7 @@ def p6_gaps(spark, d):
 
 def p6_found(spark, d):
     """Values that stand in at least 1 % of all rows of edges, from the per-key results."""
-    return S.frequent_keys(p6_gaps(spark, d), "edge_field").filter("key_value is not null").select("edge_field", "key_value")
+    return S.frequent_keys(p6_gaps(spark, d), table(spark, d, "edges").count()).filter("key_value is not null").select("edge_field", "key_value")
 
 
 def _tree(spark, d):

@@ -97,8 +97,9 @@ def test_numbers_are_exact(spark):
 
 
 def test_frequent_keys(spark):
-    df = spark.createDataFrame([("f", "a", 99), ("f", "b", 1), ("g", "c", 5)], "field string, key string, n_rows long")
-    assert {r.key for r in S.frequent_keys(df, "field", 0.02).collect()} == {"a", "c"}
+    df = spark.createDataFrame([("a", 98), ("b", 1), ("c", 2)], "key string, n_rows long")
+    assert {r.key for r in S.frequent_keys(df, 101, 0.015).collect()} == {"a", "c"}
+    assert S.frequent_keys(df, 0).count() == 0
 
 
 def test_hot_join(spark, monkeypatch):
