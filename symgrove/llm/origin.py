@@ -43,85 +43,80 @@ _NOTICE = re.compile(
     re.I,
 )
 _LEAD = re.compile(r"\s*(?://|#|/\*|\"\"\"|''')[!/*]*\s*(.*)")
-_TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|(\#[^\n]*)|([rRbBuUfF]?\"\"\".*?\"\"\"|[rRbBuUfF]?'''.*?'''|R\"\(.*?\)\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(\d[\w.]*)|([^\W\d]\w*)|([^\w\s])", re.S)
+_STRINGS = r'[rRbBuUfF]?""".*?"""|[rRbBuUfF]?\'\'\'.*?\'\'\'|R"\(.*?\)"|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`'
+_TOKEN = re.compile(rf"//[^\n]*|/\*.*?\*/|{_STRINGS}|\w[\w.]*(?<=\d)\b|\w+|[^\w\s]", re.S)
+_TOKEN_PY = re.compile(rf"\#[^\n]*|{_STRINGS}|\w[\w.]*(?<=\d)\b|\w+|[^\w\s]", re.S)
 #: Words of the languages that stay unmasked.
 KEYWORDS = frozenset(
     "if else for while do switch case return break continue function var let const class struct enum union public private protected static final void int float double char bool boolean long short unsigned signed def self None True False null true false nullptr new delete this template typename namespace using import export from package func type interface extends implements override virtual inline auto try catch throw throws finally lambda yield with as in not and or is pass raise go defer range chan map async await".split()
 )
-_ids: dict[str, int] = {}
+#: Masked tokens: string, number, identifier.
+STRING, NUMBER, IDENT = 1, 2, 3
+_ids: dict[str, tuple[int, int]] = {}
 
 
-def _id(t: str) -> int:
+def _id(t: str) -> tuple[int, int]:
+    """(masked, plain) number of a token; 0, 0 for a comment."""
     v = _ids.get(t)
     if v is None:
+        plain = zlib.crc32(t.encode()) + 4
+        c = t[0]
+        if t.startswith(("//", "/*")) or (c == "#" and len(t) > 1):
+            return 0, 0
+        if c in "\"'`" or (len(t) > 2 and t[-1] in "\"'"):
+            v = (STRING, plain)
+        elif c.isdigit():
+            v = (NUMBER, plain)
+        elif c.isalpha() or c == "_":
+            v = (plain if t in KEYWORDS else IDENT, plain)
+        else:
+            v = (plain, plain)
         if len(_ids) > 500_000:
             _ids.clear()
-        v = _ids[t] = zlib.crc32(t.encode()) + 1
+        _ids[t] = v
     return v
 
 
 _POW = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
-def shingles(tokens: list[int]) -> np.ndarray:
-    """Distinct int32 hashes of the runs of five tokens; shorter texts are one run."""
-    if not tokens:
+def shingles(tokens: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Distinct int32 hashes of the runs of five tokens within one text each; ``text`` numbers the tokens' texts."""
+    n = len(tokens) - SHINGLE + 1
+    if n < 1:
         return np.zeros(0, dtype=np.int32)
-    t = np.array(tokens, dtype=np.uint64)
-    n = max(1, len(t) - SHINGLE + 1)
     h = np.zeros(n, dtype=np.uint64)
-    for j in range(min(SHINGLE, len(t))):
-        h += t[j : j + n] * _POW[j]
+    for j in range(SHINGLE):
+        h += tokens[j : j + n] * _POW[j]
+    h = h[text[:n] == text[SHINGLE - 1 :]]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
     return np.unique((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
 
 
-def scan(code: str, hash_comments: bool) -> dict:
-    """Tokens and measures of one source text."""
-    masked, plain = [], []
-    lit_chars = lit = ident = ident_chars = 0
-    for m in _TOKEN.finditer(code):
-        g = m.lastgroup or m.lastindex
-        if g is None:
-            continue
-        t = m[0]
-        if g == 1:
-            if not hash_comments:
-                masked.append(_id("#"))
-                plain.append(_id(t))
-            continue
-        if g == 2:
-            masked.append(1)
-            lit += 1
-            if len(t) >= 40 and " " not in t:
-                lit_chars += len(t)
-        elif g == 3:
-            masked.append(2)
+def scan(code: str, hash_comments: bool) -> tuple[list[tuple[int, int]], dict]:
+    """Tokens, without comments, and measures of one source text."""
+    raw = (_TOKEN_PY if hash_comments else _TOKEN).findall(code)
+    get = _ids.get
+    ids = [get(t) or _id(t) for t in raw]
+    lit = lit_chars = ident = ident_chars = commas = 0
+    for t, (m, _) in zip(raw, ids):
+        if m == NUMBER:
             lit += 1
             lit_chars += len(t)
-        elif g == 4:
+        elif m == IDENT:
             ident += 1
             ident_chars += len(t)
-            masked.append(_id(t) if t in KEYWORDS else 3)
-        else:
-            masked.append(_id(t))
-            if t == ",":
-                lit_chars += 1
-        plain.append(_id(t))
+        elif m == STRING:
+            lit += 1
+            if len(t) >= 40 and " " not in t:
+                lit_chars += len(t)
+        elif t == ",":
+            commas += 1
     first = _LEAD.match(code)
-    return {
-        "masked": masked,
-        "plain": plain,
-        "lit_chars": lit_chars,
-        "lit": lit,
-        "ident": ident,
-        "ident_chars": ident_chars,
-        "notice": bool(first and _NOTICE.match(first[1])),
-        "chars": len(code),
-        "spaces": sum(code.count(c) for c in " \t\n"),
-        "lines": code.count("\n") + 1,
-    }
+    lines = code.count("\n") + 1
+    sizes = {"lit": lit, "lit_chars": lit_chars + min(commas, lit), "ident": ident, "ident_chars": ident_chars, "chars": len(code), "spaces": code.count(" ") + code.count("\t") + lines - 1, "lines": lines, "notices": int(bool(first and _NOTICE.match(first[1])))}
+    return [x for x in ids if x[0]], sizes
 
 
 _SUMS = ("n_rows", "tokens", "lit", "lit_chars", "ident", "ident_chars", "chars", "spaces", "lines", "notices")
@@ -131,25 +126,37 @@ _FILE = "repo string, file_path string, " + ", ".join(f"{c} long" for c in _SUMS
 class _File:
     """Running state of one file; of bounded size whatever the file."""
 
+    KEPT = 100_000
+
     def __init__(self, key):
         self.key, self.n = key, dict.fromkeys(_SUMS, 0)
-        self.sets: list[list[np.ndarray]] = [[], []]
+        self.python = key[1].endswith((".py", ".pyi"))
+        self.tokens: list[tuple[int, int]] = []
+        self.ends: list[int] = []
+        self.sets = [np.zeros(0, dtype=np.int32)] * 2
 
     def add(self, code: str) -> None:
-        x = scan(code, self.key[1] is not None and self.key[1].endswith((".py", ".pyi", ".sh", ".rb")))
-        for c, v in zip(_SUMS, (1, len(x["plain"]), x["lit"], x["lit_chars"], x["ident"], x["ident_chars"], x["chars"], x["spaces"], x["lines"], int(x["notice"]))):
+        ids, sizes = scan(code, self.python)
+        self.n["n_rows"] += 1
+        self.n["tokens"] += len(ids)
+        for c, v in sizes.items():
             self.n[c] += v
-        for s, t in zip(self.sets, (x["masked"], x["plain"])):
-            s.append(shingles(t))
-            if len(s) > 64:
-                s[:] = [self.sketch(s)]
-
-    @staticmethod
-    def sketch(s):
-        return np.unique(np.concatenate(s))[:K] if s else np.zeros(0, dtype=np.int32)
+        # texts of fewer tokens than a shingle are filled up, so that they count as one
+        self.tokens += ids + [(0, 0)] * (SHINGLE - len(ids) if ids else 0)
+        self.ends.append(len(self.tokens))
+        if len(self.tokens) > self.KEPT:
+            self.fold()
+
+    def fold(self) -> None:
+        if self.tokens:
+            t = np.array(self.tokens, dtype=np.uint64)
+            text = np.searchsorted(np.array(self.ends), np.arange(len(t)), side="right")
+            self.sets = [np.union1d(s, shingles(t[:, i], text))[:K] for i, s in enumerate(self.sets)]
+        self.tokens, self.ends = [], []
 
     def row(self):
-        return (*self.key, *self.n.values(), self.sketch(self.sets[0]).tolist(), self.sketch(self.sets[1]).tolist())
+        self.fold()
+        return (*self.key, *self.n.values(), self.sets[0].tolist(), self.sets[1].tolist())
 
 
 def _scan_files(batches):

@@ -13,16 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgrove.operators.components import connected_components
-from symgrove.operators.skew import hot_join
+from symgrove.operators.skew import hot_join, hot_keys
 from symgrove.session import cut
 
 K = 1024
 ROWS, BANDS = 10, 40
 THRESHOLD = 0.8
-#: Rows of a bucket that the others are verified against in one round.
-LEADERS = 32
-#: Values of the signature that are compared before the sets are; pairs that agree in less than NEAR of them (3.7 standard errors under 0.8) are no links.
-SIGNS, NEAR = 128, 0.67
+#: Values of the signature that are compared before the sets are. Pairs that agree in less than NEAR of them (four
+#: standard errors under 0.8) are no links; a row that agrees in SURE of them with a leader needs no other one.
+SIGNS, NEAR, SURE = 256, 0.7, 0.88
+#: Buckets with this share of all rows are split into SALTS parts first.
+HOT_BUCKET, SALTS = 0.002, 32
 
 _rng = np.random.default_rng(20240601)
 _MUL = _rng.integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
@@ -50,13 +51,37 @@ def _band_rows(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0].tolist() for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.binary())], names=["n", "block", "bands", "signs"])
 
 
-def _near(batches):
-    """Pairs whose signatures agree."""
+def _leaders(batches):
+    """Rows sorted by bucket (part, n, signs): pairs that agree with a leader of their bucket, and the leaders themselves.
+
+    A row is compared with all leaders met so far at once; it becomes a leader too
+    unless one surely is like it. Only the leaders of one bucket are kept.
+    """
+    part, lead, n_lead = None, np.zeros((64, SIGNS), dtype=np.uint8), 0
+    ids = np.zeros(64, dtype=np.int64)
     for b in batches:
-        if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint8).reshape(-1, SIGNS) for i in (2, 3))
-            keep = pa.array((x == y).mean(axis=1) >= NEAR)
-            yield b.select([0, 1]).filter(keep)
+        out_n, out_lead, out_part = [], [], []
+        sig = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint8).reshape(-1, SIGNS)
+        for i, (p, n) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            if p != part:
+                part, n_lead = p, 0
+            sure = False
+            if n_lead:
+                agree = (lead[:n_lead] == sig[i]).mean(axis=1)
+                near = np.flatnonzero(agree >= NEAR)
+                out_n += [n] * len(near)
+                out_lead += ids[near].tolist()
+                out_part += [None] * len(near)
+                sure = bool(len(near)) and agree.max() >= SURE
+            if not sure:
+                if n_lead == len(ids):
+                    lead, ids = np.concatenate([lead, np.zeros_like(lead)]), np.concatenate([ids, np.zeros_like(ids)])
+                lead[n_lead], ids[n_lead] = sig[i], n
+                n_lead += 1
+                out_n.append(n)
+                out_lead.append(None)
+                out_part.append(p)
+        yield pa.RecordBatch.from_arrays([pa.array(out_n, pa.int64()), pa.array(out_lead, pa.int64()), pa.array(out_part, pa.int64())], names=["n", "lead", "part"])
 
 
 def jaccard(a: str, b: str, k: int = K) -> Column:
@@ -73,36 +98,34 @@ def similar_classes(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     Rows are linked if they share a block and a band and their similarity is at
     least ``threshold``; classes are the connected components of the links, named
     by a number that holds within this result. Equal sets are one class at once
-    and go on as one row. In a bucket all rows are compared with up to LEADERS of
-    its rows at once, by signature and then by set; those that match none go on
-    among themselves, until none are left, so no bucket is cut short and no bucket
-    is paired out. A link is missed only if its rows share no band (about 1 % at
-    0.8), or if in each shared bucket one of them left with a leader that the other
-    does not resemble. Empty sets make a class of their own each.
+    and go on as one row. A bucket is read once: each row is compared, by signature,
+    with the rows of the bucket that resemble none before them, and what agrees is
+    verified by set; no bucket is cut short and none is paired out. Large buckets
+    are read in parts whose leaders are then compared. A link is missed only if its
+    rows share no band (about 1 % at 0.8) or if in every shared bucket one of them
+    was surely like a leader that the other is not like. Empty sets make a class of
+    their own each.
     """
     full = cut(items.select("id", F.xxhash64("block").alias("block"), "sketch").withColumn("set_id", F.xxhash64("block", "sketch")).withColumn("n", F.monotonically_increasing_id()), "sets")
     reps = full.filter(F.size("sketch") > 0).groupBy("set_id").agg(F.min("n").alias("rep"))
     rows = cut(full.join(reps, full["n"] == reps["rep"], "left_semi").select("n", "block", "sketch"), "reps")
     banded = cut(rows.mapInArrow(_band_rows, "n long, block long, bands array<long>, signs binary"), "banded")
     b = banded.select("n", "block", F.posexplode("bands").alias("band", "h")).select("n", F.xxhash64("block", "band", "h").alias("bucket"))
-    signs = banded.select("n", "signs")
-    links = None
-    while True:
-        slots = b.groupBy("bucket", F.pmod(F.xxhash64("n", "bucket"), F.lit(LEADERS // 2)).alias("slot")).agg(F.array_distinct(F.array(F.min("n"), F.max("n"))).alias("lead"), F.count(F.lit(1)).alias("c"))
-        lead = slots.groupBy("bucket").agg(F.flatten(F.collect_list("lead")).alias("leads"), F.sum("c").alias("c")).filter("c > 1").drop("c")
-        m = cut(hot_join(b, lead, ["bucket"]).filter("leads is not null"), "members")
-        pairs = m.select("n", F.explode("leads").alias("lead")).filter("lead < n").distinct()
-        sides = cut(pairs.join(signs.withColumnRenamed("signs", "s1"), "n"), "sides")
-        near = hot_join(sides, signs.select(F.col("n").alias("lead"), F.col("signs").alias("s2")), ["lead"]).mapInArrow(_near, "n long, lead long")
-        left = cut(near.join(rows.select("n", F.col("sketch").alias("s1")), "n"), "near")
-        both = hot_join(left, rows.select(F.col("n").alias("lead"), F.col("sketch").alias("s2")), ["lead"])
-        ok = cut(both.filter(jaccard("s1", "s2") >= threshold).select("n", "lead"), "verified")
-        links = ok if links is None else links.unionByName(ok)
-        open_ = m.filter(~F.array_contains("leads", F.col("n")))
-        gone = open_.select("n", "bucket", F.explode("leads").alias("lead")).join(ok, ["n", "lead"], "left_semi").select("n", "bucket").distinct()
-        b = cut(open_.select("n", "bucket").join(gone, ["n", "bucket"], "left_anti"), "open")
-        if not b.limit(1).count():
-            break
+    shared = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    m = cut(b.join(shared, "bucket", "left_semi"), "members")
+    hot = [k for (k,) in hot_keys(m, ["bucket"], HOT_BUCKET)]
+    salt = F.when(F.col("bucket").isin(hot), F.pmod(F.xxhash64("n"), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
+    rows_in = m.join(banded.select("n", "signs"), "n").withColumn("part", F.xxhash64("bucket", salt))
+    first = rows_in.select("part", "n", "signs").repartition("part").sortWithinPartitions("part", "n").mapInArrow(_leaders, "n long, lead long, part long")
+    if hot:
+        first = cut(first, "leaders")
+        parts = m.filter(F.col("bucket").isin(hot)).select("n", "bucket", F.xxhash64("bucket", salt).alias("part"))
+        again = first.filter("lead is null").join(parts, ["n", "part"]).join(banded.select("n", "signs"), "n").select("bucket", "n", "signs")
+        first = first.unionByName(again.repartition("bucket").sortWithinPartitions("bucket", "n").mapInArrow(_leaders, "n long, lead long, part long"))
+    pairs = cut(first.filter("lead is not null").select("n", "lead").distinct(), "pairs")
+    left = cut(hot_join(pairs, rows.select("n", F.col("sketch").alias("s1")), ["n"]), "sides")
+    both = hot_join(left, rows.select(F.col("n").alias("lead"), F.col("sketch").alias("s2")), ["lead"])
+    links = both.filter(jaccard("s1", "s2") >= threshold).select("n", "lead")
     named = full.join(reps, "set_id", "left").select("id", F.coalesce("rep", "n").alias("rep"))
     comp = connected_components(links.select(F.col("n").alias("a"), F.col("lead").alias("b"))).select(F.col("node").alias("rep"), "comp")
     return hot_join(cut(named, "named"), comp, ["rep"]).select("id", F.coalesce("comp", "rep").alias("cls"))
