@@ -85,11 +85,18 @@ def _leaders(batches):
 
 
 def jaccard(a: str, b: str, k: int = K) -> Column:
-    """Similarity of two sketch columns; 0 where both are empty."""
-    union = F.array_union(a, b)
-    low = F.slice(F.array_sort(union), 1, k)
-    inter = F.size(F.array_intersect(F.array_intersect(F.col(a), F.col(b)), low))
-    return F.when(F.size(union) == 0, 0.0).otherwise(inter / F.size(low))
+    """Similarity of two sketch columns; 0 where both are empty. The union is built only where a sketch may be cut off."""
+    inter = F.size(F.array_intersect(a, b))
+    whole = inter / (F.size(a) + F.size(b) - inter)
+    low = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    part = F.size(F.array_intersect(F.array_intersect(F.col(a), F.col(b)), low)) / F.size(low)
+    return F.when(F.size(a) + F.size(b) == 0, 0.0).when((F.size(a) < k) & (F.size(b) < k), whole).otherwise(part)
+
+
+def similar(a: str, b: str, threshold: float) -> Column:
+    """Whether two sketches are similar; sets whose sizes rule it out are not compared."""
+    fits = (F.size(a) >= threshold * F.size(b)) & (F.size(b) >= threshold * F.size(a))
+    return F.when(fits, jaccard(a, b) >= threshold).otherwise(False)
 
 
 def similar_classes(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -125,7 +132,7 @@ def similar_classes(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     pairs = cut(first.filter("lead is not null").select("n", "lead").distinct(), "pairs")
     left = cut(hot_join(pairs, rows.select("n", F.col("sketch").alias("s1")), ["n"]), "sides")
     both = hot_join(left, rows.select(F.col("n").alias("lead"), F.col("sketch").alias("s2")), ["lead"])
-    links = both.filter(jaccard("s1", "s2") >= threshold).select("n", "lead")
+    links = both.filter(similar("s1", "s2", threshold)).select("n", "lead")
     named = full.join(reps, "set_id", "left").select("id", F.coalesce("rep", "n").alias("rep"))
     comp = connected_components(links.select(F.col("n").alias("a"), F.col("lead").alias("b"))).select(F.col("node").alias("rep"), "comp")
     return hot_join(cut(named, "named"), comp, ["rep"]).select("id", F.coalesce("comp", "rep").alias("cls"))
