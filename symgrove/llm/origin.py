@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgrove.llm.similar import K, similar_classes
-from symgrove.operators.skew import hot_keys
+from symgrove.operators.skew import hot_join, hot_keys
 from symgrove.session import cut
 
 SHINGLE = 5
@@ -52,34 +52,55 @@ KEYWORDS = frozenset(
 )
 #: Masked tokens: string, number, identifier.
 STRING, NUMBER, IDENT = 1, 2, 3
-_ids: dict[str, tuple[int, int]] = {}
+class Vocabulary:
+    """Numbers of the tokens met in this process, with what is known of each; emptied when it is full."""
 
+    FULL = 400_000
+    FIELDS = ("masked", "plain", "lit", "lit_chars", "ident", "ident_chars", "comma")
 
-def _id(t: str) -> tuple[int, int]:
-    """(masked, plain) number of a token; 0, 0 for a comment."""
-    v = _ids.get(t)
-    if v is None:
-        plain = zlib.crc32(t.encode()) + 4
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.table = np.zeros((len(self.FIELDS), 1024), dtype=np.int64)
+        self.n = 1  # 0 stands for comments
+
+    def add(self, t: str) -> None:
         c = t[0]
         if t.startswith(("//", "/*")) or (c == "#" and len(t) > 1):
-            return 0, 0
+            self.number[t] = 0
+            return
+        plain = zlib.crc32(t.encode()) + 4
         if c in "\"'`" or (len(t) > 2 and t[-1] in "\"'"):
-            v = (STRING, plain)
+            row = (STRING, plain, 1, len(t) if len(t) >= 40 and " " not in t else 0, 0, 0, 0)
         elif c.isdigit():
-            v = (NUMBER, plain)
-        elif c.isalpha() or c == "_":
-            v = (plain if t in KEYWORDS else IDENT, plain)
+            row = (NUMBER, plain, 1, len(t), 0, 0, 0)
+        elif (c.isalpha() or c == "_") and t not in KEYWORDS:
+            row = (IDENT, plain, 0, 0, 1, len(t), 0)
         else:
-            v = (plain, plain)
-        if len(_ids) > 500_000:
-            _ids.clear()
-        _ids[t] = v
-    return v
+            row = (plain, plain, 0, 0, 0, 0, int(t == ","))
+        if self.n == self.table.shape[1]:
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
+        self.table[:, self.n] = row
+        self.number[t] = self.n
+        self.n += 1
+
+    def numbers(self, tokens: list[str]) -> list[int]:
+        for t in set(tokens).difference(self.number):
+            self.add(t)
+        return list(map(self.number.__getitem__, tokens))
+
+
+_vocabulary = Vocabulary()
 
 
 _POW = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+
+
 def shingles(tokens: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Distinct int32 hashes of the runs of five tokens within one text each; ``text`` numbers the tokens' texts."""
     n = len(tokens) - SHINGLE + 1
@@ -91,32 +112,7 @@ def shingles(tokens: np.ndarray, text: np.ndarray) -> np.ndarray:
     h = h[text[:n] == text[SHINGLE - 1 :]]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    return np.unique((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
-
-
-def scan(code: str, hash_comments: bool) -> tuple[list[tuple[int, int]], dict]:
-    """Tokens, without comments, and measures of one source text."""
-    raw = (_TOKEN_PY if hash_comments else _TOKEN).findall(code)
-    get = _ids.get
-    ids = [get(t) or _id(t) for t in raw]
-    lit = lit_chars = ident = ident_chars = commas = 0
-    for t, (m, _) in zip(raw, ids):
-        if m == NUMBER:
-            lit += 1
-            lit_chars += len(t)
-        elif m == IDENT:
-            ident += 1
-            ident_chars += len(t)
-        elif m == STRING:
-            lit += 1
-            if len(t) >= 40 and " " not in t:
-                lit_chars += len(t)
-        elif t == ",":
-            commas += 1
-    first = _LEAD.match(code)
-    lines = code.count("\n") + 1
-    sizes = {"lit": lit, "lit_chars": lit_chars + min(commas, lit), "ident": ident, "ident_chars": ident_chars, "chars": len(code), "spaces": code.count(" ") + code.count("\t") + lines - 1, "lines": lines, "notices": int(bool(first and _NOTICE.match(first[1])))}
-    return [x for x in ids if x[0]], sizes
+    return distinct((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
 
 
 _SUMS = ("n_rows", "tokens", "lit", "lit_chars", "ident", "ident_chars", "chars", "spaces", "lines", "notices")
@@ -129,29 +125,49 @@ class _File:
     KEPT = 100_000
 
     def __init__(self, key):
+        global _vocabulary
+        if _vocabulary.n > Vocabulary.FULL:
+            _vocabulary = Vocabulary()
         self.key, self.n = key, dict.fromkeys(_SUMS, 0)
-        self.python = key[1].endswith((".py", ".pyi"))
-        self.tokens: list[tuple[int, int]] = []
+        self.split = (_TOKEN_PY if key[1].endswith((".py", ".pyi")) else _TOKEN).findall
+        self.tokens: list[int] = []
         self.ends: list[int] = []
         self.sets = [np.zeros(0, dtype=np.int32)] * 2
 
     def add(self, code: str) -> None:
-        ids, sizes = scan(code, self.python)
-        self.n["n_rows"] += 1
-        self.n["tokens"] += len(ids)
-        for c, v in sizes.items():
-            self.n[c] += v
-        # texts of fewer tokens than a shingle are filled up, so that they count as one
-        self.tokens += ids + [(0, 0)] * (SHINGLE - len(ids) if ids else 0)
+        n, lines = self.n, code.count("\n") + 1
+        first = _LEAD.match(code)
+        n["n_rows"] += 1
+        n["chars"] += len(code)
+        n["lines"] += lines
+        n["spaces"] += code.count(" ") + code.count("\t") + lines - 1
+        n["notices"] += bool(first and _NOTICE.match(first[1]))
+        self.tokens += _vocabulary.numbers(self.split(code))
         self.ends.append(len(self.tokens))
         if len(self.tokens) > self.KEPT:
             self.fold()
 
     def fold(self) -> None:
-        if self.tokens:
-            t = np.array(self.tokens, dtype=np.uint64)
-            text = np.searchsorted(np.array(self.ends), np.arange(len(t)), side="right")
-            self.sets = [np.union1d(s, shingles(t[:, i], text))[:K] for i, s in enumerate(self.sets)]
+        """Work off the texts kept so far."""
+        if self.ends:
+            t = np.array(self.tokens, dtype=np.int64)
+            text = np.repeat(np.arange(len(self.ends)), np.diff([0, *self.ends]))
+            t, text = t[t > 0], text[t > 0]
+            known = dict(zip(Vocabulary.FIELDS, _vocabulary.table[:, t]))
+            self.n["tokens"] += len(t)
+            for c in ("lit", "lit_chars", "ident", "ident_chars"):
+                self.n[c] += int(known[c].sum())
+            self.n["lit_chars"] += min(int(known["comma"].sum()), int(known["lit"].sum()))
+            # texts of fewer tokens than a shingle are filled up, so that they count as one
+            size = np.bincount(text, minlength=len(self.ends))
+            short = np.flatnonzero((size > 0) & (size < SHINGLE))
+            fill = np.repeat(short, SHINGLE - size[short])
+            order = np.argsort(np.concatenate([text, fill]), kind="stable")
+            text = np.concatenate([text, fill])[order]
+            for i, c in enumerate(("masked", "plain")):
+                tokens = np.concatenate([known[c], np.zeros(len(fill), dtype=np.int64)])[order].astype(np.uint64)
+                now = shingles(tokens, text)
+                self.sets[i] = (distinct(np.concatenate([self.sets[i], now])) if len(self.sets[i]) else now)[:K]
         self.tokens, self.ends = [], []
 
     def row(self):
@@ -231,14 +247,15 @@ def file_origins(symbols: DataFrame) -> DataFrame:
     per_repo = f.groupBy("class_id", "repo").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("plain")).alias("texts"), F.min("tokens").alias("least"), F.count_if("data").alias("n_data"), F.count_if(F.col("notice") | F.col("gen_place")).alias("n_gen"))
     span = per_repo.groupBy("class_id").agg(F.sum("n").alias("class_files"), F.count(F.lit(1)).alias("class_repos"), F.sum("n_data").alias("data_files"), F.sum("n_gen").alias("gen_files"))
     fam = per_repo.filter((F.col("texts") >= FAMILY_FILES) & (F.col("least") >= FAMILY_TOKENS)).select("class_id", "repo", F.lit(True).alias("family"))
-    shared = span.filter("class_repos > 1").select("class_id")
+    # a class may hold much of all files, so joins on it are made by hot_join
+    f = cut(hot_join(cut(hot_join(f, cut(span, "span"), ["class_id"]), "spanned"), cut(fam, "families"), ["class_id", "repo"]), "families")
     # an exact check follows: the same tokens, unmasked, under several repositories
-    suspects = f.join(shared, "class_id", "left_semi").filter(F.col("tokens") >= COPY_TOKENS)
+    suspects = f.filter((F.col("class_repos") > 1) & (F.col("tokens") >= COPY_TOKENS))
     copies = similar_classes(suspects.select("id", F.col("class_id").alias("block"), F.col("plain").alias("sketch"))).withColumnRenamed("cls", "copy_id")
     copies = cut(copies.withColumn("copy_repo", F.substring_index("id", "\0", 1)), "copies")
-    foreign = copies.groupBy("copy_id").agg(F.countDistinct("copy_repo").alias("r")).filter("r > 1").select("copy_id")
-    copied = copies.join(foreign, "copy_id", "left_semi").select("id", F.lit(True).alias("copied"))
-    out = f.join(span, "class_id").join(fam, ["class_id", "repo"], "left").join(copied, "id", "left")
+    foreign = copies.groupBy("copy_id").agg(F.countDistinct("copy_repo").alias("r")).filter("r > 1").select("copy_id", F.lit(True).alias("copied"))
+    copied = hot_join(copies, foreign, ["copy_id"]).filter("copied").select("id", "copied")
+    out = f.join(copied, "id", "left")
     blob = F.col("data") | ((F.col("lit_chars") >= BLOB_CHARS) & (F.col("data_files") * 2 > F.col("class_files")))
     family = F.coalesce("family", F.lit(False)) & ~blob
     is_copy = F.coalesce("copied", F.lit(False))

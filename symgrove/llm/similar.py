@@ -118,8 +118,8 @@ def similar_classes(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     rows = cut(full.join(reps, full["n"] == reps["rep"], "left_semi").select("n", "block", "sketch"), "reps")
     banded = cut(rows.mapInArrow(_band_rows, "n long, block long, bands array<long>, signs binary"), "banded")
     b = banded.select("n", "block", F.posexplode("bands").alias("band", "h")).select("n", F.xxhash64("block", "band", "h").alias("bucket"))
-    shared = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    m = cut(b.join(shared, "bucket", "left_semi"), "members")
+    shared = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    m = cut(hot_join(b, shared, ["bucket"]).filter("c > 1").drop("c"), "members")
     hot = [k for (k,) in hot_keys(m, ["bucket"], HOT_BUCKET)]
     salt = F.when(F.col("bucket").isin(hot), F.pmod(F.xxhash64("n"), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
     rows_in = m.join(banded.select("n", "signs"), "n").withColumn("part", F.xxhash64("bucket", salt))
@@ -133,6 +133,6 @@ def similar_classes(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     left = cut(hot_join(pairs, rows.select("n", F.col("sketch").alias("s1")), ["n"]), "sides")
     both = hot_join(left, rows.select(F.col("n").alias("lead"), F.col("sketch").alias("s2")), ["lead"])
     links = both.filter(similar("s1", "s2", threshold)).select("n", "lead")
-    named = full.join(reps, "set_id", "left").select("id", F.coalesce("rep", "n").alias("rep"))
+    named = hot_join(full, reps, ["set_id"]).select("id", F.coalesce("rep", "n").alias("rep"))
     comp = connected_components(links.select(F.col("n").alias("a"), F.col("lead").alias("b"))).select(F.col("node").alias("rep"), "comp")
     return hot_join(cut(named, "named"), comp, ["rep"]).select("id", F.coalesce("comp", "rep").alias("cls"))
