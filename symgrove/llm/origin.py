@@ -239,18 +239,20 @@ def file_origins(symbols: DataFrame) -> DataFrame:
     key = F.concat_ws("\0", "repo", "file_path")
     files = cut(scan_files(symbols).withColumn("id", key), "files")
     cls = similar_classes(files.select("id", F.lit("").alias("block"), F.col("masked").alias("sketch"))).withColumnRenamed("cls", "class_id")
-    f = cut(files.join(cls, "id"), "classed")
+    f = files.withColumn("text_id", F.xxhash64("plain")).drop("masked", "plain").join(cls, "id")
     data = (F.col("lit_chars") >= BLOB_CHARS) & (F.col("lit_chars") >= BLOB_SHARE * F.col("chars"))
     vendor, gen = F.col("file_path").rlike(VENDOR_PLACE), F.col("file_path").rlike(GENERATED_NAME) | F.col("file_path").rlike(GENERATED_PLACE)
     f = f.withColumns({"data": data, "minified": _minified() | F.col("file_path").rlike(MINIFIED_NAME), "vendor_place": vendor, "gen_place": gen, "notice": F.col("notices") > 0})
+    f = cut(f, "classed")
     # what a cluster spans; per repo first, so that a large cluster is counted in parts
-    per_repo = f.groupBy("class_id", "repo").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("plain")).alias("texts"), F.min("tokens").alias("least"), F.count_if("data").alias("n_data"), F.count_if(F.col("notice") | F.col("gen_place")).alias("n_gen"))
+    per_repo = f.groupBy("class_id", "repo").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("text_id").alias("texts"), F.min("tokens").alias("least"), F.count_if("data").alias("n_data"), F.count_if(F.col("notice") | F.col("gen_place")).alias("n_gen"))
     span = per_repo.groupBy("class_id").agg(F.sum("n").alias("class_files"), F.count(F.lit(1)).alias("class_repos"), F.sum("n_data").alias("data_files"), F.sum("n_gen").alias("gen_files"))
     fam = per_repo.filter((F.col("texts") >= FAMILY_FILES) & (F.col("least") >= FAMILY_TOKENS)).select("class_id", "repo", F.lit(True).alias("family"))
     # a class may hold much of all files, so joins on it are made by hot_join
     f = cut(hot_join(cut(hot_join(f, cut(span, "span"), ["class_id"]), "spanned"), cut(fam, "families"), ["class_id", "repo"]), "families")
     # an exact check follows: the same tokens, unmasked, under several repositories
     suspects = f.filter((F.col("class_repos") > 1) & (F.col("tokens") >= COPY_TOKENS))
+    suspects = suspects.select("id", "class_id").join(files.select("id", "plain"), "id")
     copies = similar_classes(suspects.select("id", F.col("class_id").alias("block"), F.col("plain").alias("sketch"))).withColumnRenamed("cls", "copy_id")
     copies = cut(copies.withColumn("copy_repo", F.substring_index("id", "\0", 1)), "copies")
     foreign = copies.groupBy("copy_id").agg(F.countDistinct("copy_repo").alias("r")).filter("r > 1").select("copy_id", F.lit(True).alias("copied"))

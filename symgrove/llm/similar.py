@@ -93,12 +93,6 @@ def jaccard(a: str, b: str, k: int = K) -> Column:
     return F.when(F.size(a) + F.size(b) == 0, 0.0).when((F.size(a) < k) & (F.size(b) < k), whole).otherwise(part)
 
 
-def similar(a: str, b: str, threshold: float) -> Column:
-    """Whether two sketches are similar; sets whose sizes rule it out are not compared."""
-    fits = (F.size(a) >= threshold * F.size(b)) & (F.size(b) >= threshold * F.size(a))
-    return F.when(fits, jaccard(a, b) >= threshold).otherwise(False)
-
-
 def similar_classes(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """id, cls of every row of ``items`` (id unique, block, sketch ARRAY<INT>).
 
@@ -130,9 +124,12 @@ def similar_classes(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame
         again = first.filter("lead is null").join(parts, ["n", "part"]).join(banded.select("n", "signs"), "n").select("bucket", "n", "signs")
         first = first.unionByName(again.repartition("bucket").sortWithinPartitions("bucket", "n").mapInArrow(_leaders, "n long, lead long, part long"))
     pairs = cut(first.filter("lead is not null").select("n", "lead").distinct(), "pairs")
-    left = cut(hot_join(pairs, rows.select("n", F.col("sketch").alias("s1")), ["n"]), "sides")
-    both = hot_join(left, rows.select(F.col("n").alias("lead"), F.col("sketch").alias("s2")), ["lead"])
-    links = both.filter(similar("s1", "s2", threshold)).select("n", "lead")
+    # sizes go first, as sets are long; a row has no more pairs than it has bands and leaders, a leader may have any number
+    size = rows.select("n", F.size("sketch").alias("z"))
+    sized = hot_join(pairs, size.select(F.col("n").alias("lead"), F.col("z").alias("z2")), ["lead"]).join(size, "n")
+    fits = cut(sized.filter((F.col("z") >= threshold * F.col("z2")) & (F.col("z2") >= threshold * F.col("z"))).select("n", "lead"), "fits")
+    both = hot_join(fits, rows.select(F.col("n").alias("lead"), F.col("sketch").alias("s2")), ["lead"]).join(rows.select("n", F.col("sketch").alias("s1")), "n")
+    links = both.filter(jaccard("s1", "s2") >= threshold).select("n", "lead")
     named = hot_join(full, reps, ["set_id"]).select("id", F.coalesce("rep", "n").alias("rep"))
     comp = connected_components(links.select(F.col("n").alias("a"), F.col("lead").alias("b"))).select(F.col("node").alias("rep"), "comp")
     return hot_join(cut(named, "named"), comp, ["rep"]).select("id", F.coalesce("comp", "rep").alias("cls"))
