@@ -6,8 +6,8 @@ stands. The masked sketches are clustered by MinHash banding with verification;
 what a cluster spans says what it is: copies under several repositories are
 vendored (checked on the unmasked tokens), families of one repository that
 differ only in their names are generated, clusters of nothing but literals are
-data, and a cluster with a marked member is what the mark says. Declared places,
-file names and notices are evidence of a file's own.
+data, and a cluster most of whose members are marked as generated is generated.
+Declared places, file names and notices are evidence of a file's own.
 """
 
 from __future__ import annotations
@@ -261,7 +261,7 @@ def file_origins(symbols: DataFrame) -> DataFrame:
     blob = F.col("data") | ((F.col("lit_chars") >= BLOB_CHARS) & (F.col("data_files") * 2 > F.col("class_files")))
     family = F.coalesce("family", F.lit(False)) & ~blob
     is_copy = F.coalesce("copied", F.lit(False))
-    made = F.col("gen_place") | F.col("notice") | family
+    made = F.col("gen_place") | F.col("notice") | family | (F.col("gen_files") * 2 > F.col("class_files"))
     origin = F.when(F.col("vendor_place") | is_copy, "vendored").when(F.col("minified"), "minified").when(blob, "data").when(made, "generated").otherwise("hand-written")
     return out.select(
         "repo", "file_path", "class_id", "class_files", "class_repos", (F.col("vendor_place") | F.col("gen_place")).alias("declared"), "notice", "minified", blob.alias("data"), is_copy.alias("copied"), family.alias("family"), origin.alias("origin")
