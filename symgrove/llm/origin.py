@@ -1,8 +1,8 @@
 """Generated, minified, vendored files and data blobs among source files.
 
-Each file (all rows of ``symbols`` with its repo and path) becomes two sketches
+Each file (all rows of ``symbols`` with its repo and path) becomes two sets
 of five-token shingles, one with identifiers and literals masked, one as it
-stands. The masked sketches are clustered by MinHash banding with verification;
+stands. The masked sets are clustered by MinHash banding with verification;
 what a cluster spans says what it is: copies under several repositories are
 vendored (checked on the unmasked tokens), families of one repository that
 differ only in their names are generated, clusters of nothing but literals are
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symgrove.llm.similar import K, similar_classes
+from symgrove.llm.similar import similar_classes
 from symgrove.operators.skew import hot_join, hot_keys
 from symgrove.session import cut
 
@@ -120,7 +120,7 @@ _FILE = "repo string, file_path string, " + ", ".join(f"{c} long" for c in _SUMS
 
 
 class _File:
-    """Running state of one file; of bounded size whatever the file."""
+    """Running state of one file: sums, the tokens not yet folded (bounded), and the whole sets of its shingles."""
 
     KEPT = 100_000
 
@@ -167,7 +167,7 @@ class _File:
             for i, c in enumerate(("masked", "plain")):
                 tokens = np.concatenate([known[c], np.zeros(len(fill), dtype=np.int64)])[order].astype(np.uint64)
                 now = shingles(tokens, text)
-                self.sets[i] = (distinct(np.concatenate([self.sets[i], now])) if len(self.sets[i]) else now)[:K]
+                self.sets[i] = distinct(np.concatenate([self.sets[i], now])) if len(self.sets[i]) else now
         self.tokens, self.ends = [], []
 
     def row(self):
@@ -200,7 +200,7 @@ def _scan_files(batches):
 
 
 def scan_files(symbols: DataFrame) -> DataFrame:
-    """Measures and sketches, one row per (repo, file_path).
+    """Measures and shingle sets, one row per (repo, file_path).
 
     The text is shuffled once, by file; files that hold much of all rows are
     salted over several tasks and their partial rows merged.
@@ -216,7 +216,7 @@ def scan_files(symbols: DataFrame) -> DataFrame:
     if not hot:
         return files
     files = cut(files, "files")
-    union = [F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), 1, K).alias(c) for c in ("masked", "plain")]  # SALTS lists of K at most
+    union = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("masked", "plain")]  # SALTS lists
     big = F.concat_ws("\0", "repo", "file_path").isin(["\0".join(x) for x in hot])
     merged = files.filter(big).groupBy("repo", "file_path").agg(*[F.sum(c).alias(c) for c in _SUMS], *union)
     return files.filter(~big).unionByName(merged)

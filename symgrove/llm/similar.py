@@ -1,8 +1,7 @@
 """Classes of similar sets, by MinHash banding with verification.
 
-Sets are bottom-k sketches of 32-bit shingle hashes: sets of at most ``K``
-shingles are held whole, so their similarity is exact; that of larger ones is
-estimated on the ``K`` smallest of the union (standard error under 0.016).
+Sets of 32-bit shingle hashes are held whole, whatever their size: signatures
+are those of the whole set, and similarities are exact.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from symgrove.operators.components import connected_components
 from symgrove.operators.skew import hot_join, hot_keys
 from symgrove.session import cut
 
-K = 1024
 ROWS, BANDS = 10, 40
 THRESHOLD = 0.8
 #: Values of the signature that are compared before the sets are. Pairs that agree in less than NEAR of them (four
@@ -84,17 +82,14 @@ def _leaders(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out_n, pa.int64()), pa.array(out_lead, pa.int64()), pa.array(out_part, pa.int64())], names=["n", "lead", "part"])
 
 
-def jaccard(a: str, b: str, k: int = K) -> Column:
-    """Similarity of two sketch columns; 0 where both are empty. The union is built only where a sketch may be cut off."""
+def jaccard(a: str, b: str) -> Column:
+    """Similarity of two columns of sets; 0 where both are empty."""
     inter = F.size(F.array_intersect(a, b))
-    whole = inter / (F.size(a) + F.size(b) - inter)
-    low = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
-    part = F.size(F.array_intersect(F.array_intersect(F.col(a), F.col(b)), low)) / F.size(low)
-    return F.when(F.size(a) + F.size(b) == 0, 0.0).when((F.size(a) < k) & (F.size(b) < k), whole).otherwise(part)
+    return F.when(F.size(a) + F.size(b) == 0, 0.0).otherwise(inter / (F.size(a) + F.size(b) - inter))
 
 
 def similar_classes(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """id, cls of every row of ``items`` (id unique, block, sketch ARRAY<INT>).
+    """id, cls of every row of ``items`` (id unique, block, sketch ARRAY<INT>: the whole set).
 
     Rows are linked if they share a block and a band and their similarity is at
     least ``threshold``; classes are the connected components of the links, named

@@ -133,6 +133,21 @@ def test_similar_classes_by_brute_force(spark):
     assert S.similar_classes(d.limit(0)).count() == 0
 
 
+def test_long_files_of_different_length_are_linked(spark):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(12):  # a long file with a fifth added to it
+        words = [f"w{i}" if rnd.random() < 0.5 else rnd.choice(["+", "-", "*", "/", "(", ")", ";", "<", ">", "{", "}", "return", "if", "for"]) for _ in range(3000)]
+        more = [rnd.choice(["&", "|", "^", "while", "case", "goto", "!", "?"]) for _ in range(450)]
+        rows += [(2 * i, "r", f"a{i}.cpp", " ".join(words)), (2 * i + 1, "r", f"b{i}.cpp", " ".join(words + more))]
+    f = O.scan_files(spark.createDataFrame(rows, "id long, repo string, file_path string, definition string")).collect()
+    sets = {r.file_path: set(r.masked) for r in f}
+    assert min(map(len, sets.values())) > 1024 and all(0.8 <= len(sets[f"a{i}.cpp"] & sets[f"b{i}.cpp"]) / len(sets[f"a{i}.cpp"] | sets[f"b{i}.cpp"]) < 0.85 for i in range(12))
+    d = spark.createDataFrame([(r.file_path, "x", sorted(r.masked)) for r in f], "id string, block string, sketch array<int>")
+    cls = {r.id: r.cls for r in S.similar_classes(d).collect()}
+    assert all(cls[f"a{i}.cpp"] == cls[f"b{i}.cpp"] for i in range(12)) and len(set(cls.values())) == 12
+
+
 def hot(spark, monkeypatch, df):
     from symgrove.operators import skew
 
