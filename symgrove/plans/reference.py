@@ -13,6 +13,7 @@ from symgrove.operators import resolve as R
 from symgrove.operators import search as Q
 from symgrove.operators import stats as A
 from symgrove.operators import store as W
+from symgrove.plans.index import LINK_THRESHOLD
 from symgrove.session import table
 from symgrove.streaming.ingest import windowed_counts
 
@@ -147,6 +148,18 @@ def link_pairs(spark, d):
     return L.similarity_join(*_sides(spark, d), LINK_MIN)
 
 
+@query(
+    f"""WITH a AS (SELECT list_sort({_sql_tokens(_DOC_TEXT)}) AS t, min(id) AS left_id, count(*) AS n_left FROM doc_nodes GROUP BY 1),
+b AS (SELECT list_sort({_sql_tokens(_SYM_TEXT)}) AS t, min(id) AS right_id, count(*) AS n_right FROM symbols GROUP BY 1),
+ea AS (SELECT left_id, unnest(t) AS w FROM a), eb AS (SELECT right_id, unnest(t) AS w FROM b),
+i AS (SELECT left_id, right_id, count(*) AS i FROM ea JOIN eb USING (w) GROUP BY 1, 2)
+SELECT left_id, right_id, n_left, n_right, round(i / (len(a.t) + len(b.t) - i), 6) AS strength FROM i JOIN a USING (left_id) JOIN b USING (right_id) WHERE i / (len(a.t) + len(b.t) - i) >= {LINK_THRESHOLD}"""
+)
+def link_pairs_production(spark, d):
+    """Links of sections to symbols between distinct token sets, at the threshold of the indexing pipeline."""
+    return L.similarity_join(*_sides(spark, d), LINK_THRESHOLD)
+
+
 @query(f"WITH t AS (SELECT id, list_sort({_sql_tokens(_DOC_TEXT)}) AS t FROM doc_nodes) SELECT id, min(id) OVER (PARTITION BY t) AS class_id FROM t WHERE len(t) > 0")
 def link_members(spark, d):
     """Sections and the section that stands for their token set."""

@@ -216,6 +216,13 @@ def test_index(spark, tmp_path):
     assert other.read("symbols").count() == 0
 
 
+def test_production_links_are_registered(spark, data):
+    from symgrove.plans.catalogue import QUERIES
+
+    got = [r.strength for r in QUERIES["link_pairs_production"](spark, data).collect()]
+    assert min(got) >= I.LINK_THRESHOLD == 0.05 and any(x < 0.3 for x in got)
+
+
 def test_scan_without_git(spark, tmp_path):
     (tmp_path / "a.py").write_text("x = 1")
     (tmp_path / "b.txt").write_text("y")
