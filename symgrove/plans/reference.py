@@ -209,10 +209,20 @@ w AS (SELECT n AS node, [n] AS path FROM n WHERE n NOT IN (SELECT c FROM p) UNIO
 SELECT path[i] AS ancestor_id, node AS node_id, CAST(len(path) - i AS INTEGER) AS distance FROM (SELECT node, path, unnest(range(1, len(path))) AS i FROM w)"""
 )
 def inheritance_chain(spark, d):
-    """All ancestors of every class."""
+    """Ancestors of every class by the smallest base of each; inheritance_closure has all."""
     return G.inheritance_chain(table(spark, d, "edges"))
 
 
+@query(
+    f"""WITH RECURSIVE p AS (SELECT DISTINCT source_id AS c, target_id AS p FROM edges WHERE {_KIND} = 'inherits' AND source_id <> 0 AND target_id <> 0),
+w AS (SELECT c AS node, p AS anc, [c, p] AS path FROM p WHERE c <> p UNION ALL SELECT node, p.p, list_append(path, p.p) FROM w JOIN p ON p.c = w.anc WHERE NOT list_contains(path, p.p))
+SELECT anc AS ancestor_id, node AS node_id, CAST(min(len(path)) - 1 AS INTEGER) AS distance FROM w GROUP BY 1, 2"""
+)
+def inheritance_closure(spark, d):
+    """All ancestors of every class, through all of its bases."""
+    return G.inheritance_closure(table(spark, d, "edges"))
+
+
 @query(
     """WITH raw AS (SELECT e.id, s.repo, s.file_path, coalesce(edge_target, substr(edge_type, strpos(edge_type, ':') + 1)) AS t FROM edges e JOIN symbols s ON s.id = e.source_id),
 f AS (SELECT repo, file_path, name, min(id) AS n FROM symbols GROUP BY 1, 2, 3), g AS (SELECT repo, name, min(id) AS n FROM symbols GROUP BY 1, 2)

@@ -223,6 +223,13 @@ def test_production_links_are_registered(spark, data):
     assert min(got) >= I.LINK_THRESHOLD == 0.05 and any(x < 0.3 for x in got)
 
 
+def test_all_bases_are_ancestors(spark):
+    e = [(3, 1), (3, 2), (4, 3), (2, 5), (6, 7), (7, 6), (8, 6), (9, 9), (10, 9), (4, 5), (11, 0)]
+    edges = spark.createDataFrame([(a, b, "inherits:x", None) for a, b in e + e[:2]] + [(1, 12, "calls:x", None)], "source_id long, target_id long, edge_type string, edge_kind string")
+    got = sorted(tuple(r) for r in G.inheritance_closure(edges).select("node_id", "ancestor_id", "distance").collect())
+    assert got == [(2, 5, 1), (3, 1, 1), (3, 2, 1), (3, 5, 2), (4, 1, 2), (4, 2, 2), (4, 3, 1), (4, 5, 1), (6, 7, 1), (7, 6, 1), (8, 6, 1), (8, 7, 2), (10, 9, 1)]
+
+
 def test_scan_without_git(spark, tmp_path):
     (tmp_path / "a.py").write_text("x = 1")
     (tmp_path / "b.txt").write_text("y")
