@@ -131,6 +131,22 @@ def semantic_search(spark, d):
     return Q.semantic_search(table(spark, d, "doc_nodes"), table(spark, d, "symbols"), ASK)
 
 
+@query(
+    f"""WITH x AS (SELECT 'doc' AS source, id, coalesce(title, '') AS label, {_sql_tokens(_DOC_TEXT)} AS t, 0.05 AS least FROM doc_nodes
+  UNION ALL SELECT 'symbol', id, name, {_sql_tokens(_SYM_TEXT)}, 0.02 FROM symbols),
+y AS (SELECT q.source AS query_source, q.id AS query_id, x.source, x.id, x.label, x.least, len(list_intersect(x.t, q.t)) AS i, len(x.t) + len(q.t) AS n FROM x, x AS q WHERE q.id % 50 = 0)
+SELECT query_source, query_id, source, id, label, round(i / (n - i), 6) AS sim FROM y WHERE n > i AND i / (n - i) > least
+QUALIFY row_number() OVER (PARTITION BY query_source, query_id ORDER BY round(i / (n - i), 6) DESC, source, id) <= 10"""
+)
+def semantic_search_many(spark, d):
+    """Sections and symbols by token overlap with every 50th section and symbol."""
+    docs, syms = table(spark, d, "doc_nodes"), table(spark, d, "symbols")
+    fifty = F.col("id") % 50 == 0
+    q = docs.filter(fifty).select(F.lit("doc").alias("query_source"), F.col("id").alias("query_id"), Q.doc_tokens(docs).alias("tokens"))
+    q = q.unionByName(syms.filter(fifty).select(F.lit("symbol").alias("query_source"), F.col("id").alias("query_id"), Q.symbol_tokens(syms).alias("tokens")))
+    return Q.semantic_search_many(docs, syms, q)
+
+
 def _sides(spark, d):
     docs, syms = table(spark, d, "doc_nodes"), table(spark, d, "symbols")
     return docs.select("id", Q.doc_tokens(docs).alias("tokens")), syms.select("id", Q.symbol_tokens(syms).alias("tokens"))
@@ -202,6 +218,12 @@ def impact(spark, d):
     return G.impact(_roots(spark, d), table(spark, d, "edges"), table(spark, d, "symbols"), 2)
 
 
+@query(_reach_sql("id % 50 = 0", "target_id AS a, source_id AS b", 3))
+def impact_full(spark, d):
+    """What depends on every 50th symbol, by any edge, up to the default depth."""
+    return G.impact(_roots(spark, d), table(spark, d, "edges"), table(spark, d, "symbols"))
+
+
 @query(
     f"""WITH RECURSIVE p AS (SELECT source_id AS c, min(target_id) AS p FROM edges WHERE {_KIND} = 'inherits' AND source_id <> 0 AND target_id <> 0 GROUP BY 1),
 n AS (SELECT c AS n FROM p UNION SELECT p FROM p),
@@ -374,6 +396,16 @@ def nearest_vectors(spark, d):
     return Q.nearest_vectors(v, v.orderBy("vec_id").first()["embedding"])
 
 
+@query(
+    """SELECT q.vec_id AS query_id, v.vec_id, round(greatest(0.0, least(1.0, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 4) AS sim FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, v.vec_id) <= 10"""
+)
+def nearest_vectors_many(spark, d):
+    """The vectors closest to every 50th one."""
+    v = table(spark, d, "embeddings")
+    return Q.nearest_vectors_many(v, v.filter("vec_id % 50 = 0"))
+
+
 @query("SELECT e.id AS edge_id, coalesce(s.name, '') AS source_name, coalesce(t.name, '') AS target_name FROM edges e LEFT JOIN symbols s ON s.id = e.source_id LEFT JOIN symbols t ON t.id = e.target_id")
 def edge_names(spark, d):
     """Names of both ends of every edge, '' where there is no symbol."""

@@ -230,6 +230,16 @@ def test_all_bases_are_ancestors(spark):
     assert got == [(2, 5, 1), (3, 1, 1), (3, 2, 1), (3, 5, 2), (4, 1, 2), (4, 2, 2), (4, 3, 1), (4, 5, 1), (6, 7, 1), (7, 6, 1), (8, 6, 1), (8, 7, 2), (10, 9, 1)]
 
 
+def test_searches_take_every_50th_row(spark, data):
+    from symgrove.plans.catalogue import QUERIES
+    from symgrove.session import table
+
+    ids = lambda name, col: {r[0] for r in table(spark, data, name).filter(f"{col} % 50 = 0").select(col).collect()}
+    got = QUERIES["semantic_search_many"](spark, data).collect()
+    assert {(r.query_source, r.query_id) for r in got} == {("doc", i) for i in ids("doc_nodes", "id")} | {("symbol", i) for i in ids("symbols", "id")}
+    assert {r.query_id for r in QUERIES["nearest_vectors_many"](spark, data).collect()} == ids("embeddings", "vec_id")
+
+
 def test_scan_without_git(spark, tmp_path):
     (tmp_path / "a.py").write_text("x = 1")
     (tmp_path / "b.txt").write_text("y")
