@@ -11,6 +11,7 @@ from symgrove.operators import graph as G
 from symgrove.operators import search as Q
 from symgrove.operators import stats as A
 from symgrove.operators.store import Store
+from symgrove.session import cut
 
 TOOLS = ("overview", "status", "list_symbols", "get_definition", "get_call_graph", "search", "semantic_search", "index", "pull", "push", "switch_branch")
 
@@ -51,13 +52,13 @@ def get_definition(store: Store, name: str, repo: str = "default", branch: str =
 def get_call_graph(store: Store, name: str, repo: str = "default", branch: str = "", direction: str = "callers", max_depth: int = 3) -> str:
     """Call graph as an indented walk, depth first; a node that was shown is not expanded again."""
     s = _of(store, repo, branch)
-    roots = s.filter(F.col("name") == name).select("id", "name").orderBy("id").limit(50).collect()
+    frame = cut(s.filter(F.col("name") == name).select("id"), "roots")
+    roots = frame.orderBy("id").collect()  # each is drawn
     if not roots:
-        roots = s.filter(Q.contains(F.col("name"), name)).select("id", "name").orderBy("id").limit(1).collect()
+        frame = cut(s.filter(Q.contains(F.col("name"), name)).select("id").orderBy("id").limit(1), "roots")
+        roots = frame.collect()
     if not roots:
         return f"No symbol matching '{name}' found."
-    spark = store.spark
-    frame = spark.createDataFrame([(r["id"],) for r in roots], "id long")
     step = G.steps(store.read("edges"), ["calls"], direction)
     near = G.reach(frame, step, max_depth).select("id").distinct()
     pairs = step.join(near.withColumnRenamed("id", "from_id"), "from_id").orderBy("from_id", "to_id").collect()  # the neighbourhood to be drawn

@@ -240,6 +240,22 @@ def test_searches_take_every_50th_row(spark, data):
     assert {r.query_id for r in QUERIES["nearest_vectors_many"](spark, data).collect()} == ids("embeddings", "vec_id")
 
 
+def test_call_graph_of_many_symbols_of_one_name(spark):
+    class Frames:
+        frames = {
+            "symbols": spark.createDataFrame([(i, "r", "dup") for i in range(1, 71)] + [(i, "r", f"by{i}") for i in range(101, 171)], "id long, repo string, name string"),
+            "branches": spark.createDataFrame([], "symbol_id long, repo string, branch_name string"),
+            "edges": spark.createDataFrame([(100 + i, i, "calls:dup", "calls") for i in range(1, 71)], "source_id long, target_id long, edge_type string, edge_kind string"),
+        }
+
+        def read(self, name):
+            return self.frames[name]
+
+    Frames.spark = spark
+    got = api.get_call_graph(Frames(), "dup", "r")
+    assert all(f"dup (#{i})" in got and f"by{100 + i} (#" in got for i in range(1, 71))
+
+
 def test_scan_without_git(spark, tmp_path):
     (tmp_path / "a.py").write_text("x = 1")
     (tmp_path / "b.txt").write_text("y")
