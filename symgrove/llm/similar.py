@@ -20,6 +20,7 @@ THRESHOLD = 0.8
 #: Values of the signature that are compared before the sets are. Pairs that agree in less than NEAR of them (four
 #: standard errors under 0.8) are no links; a row that agrees in SURE of them with a leader needs no other one.
 SIGNS, NEAR, SURE = 256, 0.7, 0.88
+FOLLOWS = -1
 #: Buckets with this share of all rows are split into SALTS parts first.
 HOT_BUCKET, SALTS = 0.002, 32
 
@@ -50,7 +51,8 @@ def _band_rows(batches):
 
 
 def _leaders(batches):
-    """Rows sorted by bucket (part, n, signs): pairs that agree with a leader of their bucket, and the leaders themselves.
+    """Rows sorted by bucket (part, n, signs): pairs that agree with a leader of their bucket, the leaders themselves, and
+    the rows that follow one (lead is FOLLOWS).
 
     A row is compared with all leaders met so far at once; it becomes a leader too
     unless one surely is like it. Only the leaders of one bucket are kept.
@@ -71,7 +73,11 @@ def _leaders(batches):
                 out_lead += ids[near].tolist()
                 out_part += [None] * len(near)
                 sure = bool(len(near)) and agree.max() >= SURE
-            if not sure:
+            if sure:
+                out_n.append(n)
+                out_lead.append(FOLLOWS)
+                out_part.append(p)
+            else:
                 if n_lead == len(ids):
                     lead, ids = np.concatenate([lead, np.zeros_like(lead)]), np.concatenate([ids, np.zeros_like(ids)])
                 lead[n_lead], ids[n_lead] = sig[i], n
@@ -82,12 +88,30 @@ def _leaders(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out_n, pa.int64()), pa.array(out_lead, pa.int64()), pa.array(out_part, pa.int64())], names=["n", "lead", "part"])
 
 
+def _near(batches):
+    """The pairs (n, lead, s1, s2) whose signatures agree in NEAR of their values."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint8).reshape(-1, SIGNS) for i in (2, 3))
+        near = pa.array((x == y).mean(axis=1) >= NEAR)
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], names=["n", "lead"])
+
+
 def jaccard(a: str, b: str) -> Column:
     """Similarity of two columns of sets; 0 where both are empty."""
     inter = F.size(F.array_intersect(a, b))
     return F.when(F.size(a) + F.size(b) == 0, 0.0).otherwise(inter / (F.size(a) + F.size(b) - inter))
 
 
+def _links(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """The ``pairs`` (n, lead) whose sets are similar."""
+    # sizes go first, as sets are long; a row has no more pairs than it has bands and leaders, a leader may have any number
+    size = rows.select("n", F.size("sketch").alias("z"))
+    sized = hot_join(pairs, size.select(F.col("n").alias("lead"), F.col("z").alias("z2")), ["lead"]).join(size, "n")
+    fits = cut(sized.filter((F.col("z") >= threshold * F.col("z2")) & (F.col("z2") >= threshold * F.col("z"))).select("n", "lead"), "fits")
+    both = hot_join(fits, rows.select(F.col("n").alias("lead"), F.col("sketch").alias("s2")), ["lead"]).join(rows.select("n", F.col("sketch").alias("s1")), "n")
+    return both.filter(jaccard("s1", "s2") >= threshold).select("n", "lead")
+
+
 def similar_classes(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """id, cls of every row of ``items`` (id unique, block, sketch ARRAY<INT>: the whole set).
 
@@ -97,9 +121,11 @@ def similar_classes(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     and go on as one row. A bucket is read once: each row is compared, by signature,
     with the rows of the bucket that resemble none before them, and what agrees is
     verified by set; no bucket is cut short and none is paired out. Large buckets
-    are read in parts whose leaders are then compared. A link is missed only if its
-    rows share no band (about 1 % at 0.8) or if in every shared bucket one of them
-    was surely like a leader that the other is not like. Empty sets make a class of
+    are read in parts whose leaders are then compared. Rows that were surely like a
+    leader are none themselves, so a second pass compares, in the buckets that have
+    such rows, all pairs that the links found so far leave in different classes. A
+    link is missed only if its rows share no band (about 1 % at 0.8) or their
+    signatures disagree by four standard errors. Empty sets make a class of
     their own each.
     """
     full = cut(items.select("id", F.xxhash64("block").alias("block"), "sketch").withColumn("set_id", F.xxhash64("block", "sketch")).withColumn("n", F.monotonically_increasing_id()), "sets")
@@ -113,18 +139,27 @@ def similar_classes(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     salt = F.when(F.col("bucket").isin(hot), F.pmod(F.xxhash64("n"), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
     rows_in = m.join(banded.select("n", "signs"), "n").withColumn("part", F.xxhash64("bucket", salt))
     first = rows_in.select("part", "n", "signs").repartition("part").sortWithinPartitions("part", "n").mapInArrow(_leaders, "n long, lead long, part long")
+    first = cut(first, "leaders")
     if hot:
-        first = cut(first, "leaders")
         parts = m.filter(F.col("bucket").isin(hot)).select("n", "bucket", F.xxhash64("bucket", salt).alias("part"))
         again = first.filter("lead is null").join(parts, ["n", "part"]).join(banded.select("n", "signs"), "n").select("bucket", "n", "signs")
         first = first.unionByName(again.repartition("bucket").sortWithinPartitions("bucket", "n").mapInArrow(_leaders, "n long, lead long, part long"))
-    pairs = cut(first.filter("lead is not null").select("n", "lead").distinct(), "pairs")
-    # sizes go first, as sets are long; a row has no more pairs than it has bands and leaders, a leader may have any number
-    size = rows.select("n", F.size("sketch").alias("z"))
-    sized = hot_join(pairs, size.select(F.col("n").alias("lead"), F.col("z").alias("z2")), ["lead"]).join(size, "n")
-    fits = cut(sized.filter((F.col("z") >= threshold * F.col("z2")) & (F.col("z2") >= threshold * F.col("z"))).select("n", "lead"), "fits")
-    both = hot_join(fits, rows.select(F.col("n").alias("lead"), F.col("sketch").alias("s2")), ["lead"]).join(rows.select("n", F.col("sketch").alias("s1")), "n")
-    links = both.filter(jaccard("s1", "s2") >= threshold).select("n", "lead")
+    pairs = cut(first.filter(F.col("lead") != FOLLOWS).select("n", "lead").distinct(), "pairs")
+    links = cut(_links(pairs, rows, threshold), "links")
+    comp = cut(connected_components(links.select(F.col("n").alias("a"), F.col("lead").alias("b"))), "classes")
+    # second pass: hot buckets always have rows that follow
+    part = m.withColumn("part", F.xxhash64("bucket", salt))
+    led = part.join(first.filter(F.col("lead") == FOLLOWS).select("part").distinct(), "part", "left_semi").select("bucket").distinct()
+    if hot:
+        led = led.unionByName(m.filter(F.col("bucket").isin(hot)).select("bucket")).distinct()
+    mixed = cut(m.join(led, "bucket", "left_semi").join(comp.withColumnRenamed("node", "n"), "n", "left").select("n", "bucket", F.coalesce("comp", "n").alias("g")), "followed")
+    apart = mixed.groupBy("bucket").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high")
+    side = cut(mixed.join(apart, "bucket", "left_semi").join(banded.select("n", "signs"), "n"), "apart")
+    other = side.select("bucket", F.col("n").alias("lead"), F.col("g").alias("g2"), F.col("signs").alias("s2"))
+    met = side.withColumnRenamed("signs", "s1").join(other, "bucket").filter("lead < n and g <> g2").select("n", "lead", "s1", "s2")
+    more = cut(_links(cut(met.mapInArrow(_near, "n long, lead long").distinct(), "pairs"), rows, threshold), "links")
+    if more.limit(1).count():
+        comp = connected_components(links.unionByName(more).select(F.col("n").alias("a"), F.col("lead").alias("b")))
+    comp = comp.select(F.col("node").alias("rep"), "comp")
     named = hot_join(full, reps, ["set_id"]).select("id", F.coalesce("rep", "n").alias("rep"))
-    comp = connected_components(links.select(F.col("n").alias("a"), F.col("lead").alias("b"))).select(F.col("node").alias("rep"), "comp")
     return hot_join(cut(named, "named"), comp, ["rep"]).select("id", F.coalesce("comp", "rep").alias("cls"))

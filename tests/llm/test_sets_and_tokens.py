@@ -148,6 +148,21 @@ def test_long_files_of_different_length_are_linked(spark):
     assert all(cls[f"a{i}.cpp"] == cls[f"b{i}.cpp"] for i in range(12)) and len(set(cls.values())) == 12
 
 
+def test_edge_of_a_group_is_linked_through_a_follower(spark):
+    rnd = random.Random(9)
+    new = lambda n: set(rnd.sample(range(-(2**31), 2**31), n))
+    rows = []
+    for i in range(3):  # a group around r; x is like r only
+        r = new(1000)
+        group = [set(rnd.sample(sorted(r), 955)) | new(45) for _ in range(60)]
+        x = set(rnd.sample(sorted(r), 905)) | new(95)
+        rows += [*((f"{i}-{j}", g) for j, g in enumerate(group)), (f"{i}-r", r), (f"{i}-x", x)]
+        assert len(r & x) / len(r | x) >= 0.8 > max(len(g & x) / len(g | x) for g in group)
+    d = spark.createDataFrame([(k, "x", sorted(v)) for k, v in rows], "id string, block string, sketch array<int>")
+    cls = {r.id: r.cls for r in S.similar_classes(d).collect()}
+    assert len(set(cls.values())) == 3 and all(cls[f"{i}-x"] == cls[f"{i}-r"] for i in range(3))
+
+
 def hot(spark, monkeypatch, df):
     from symgrove.operators import skew
 
