@@ -42,20 +42,20 @@ def p6_found(spark, d):
     return S.frequent_keys(p6_gaps(spark, d), table(spark, d, "edges").count()).filter("key_value is not null").select("edge_field", "key_value")
 
 
-def _tree(spark, d):
+def _tree(spark, d, paths=True):
     edges = table(spark, d, "edges").select("source_id", "target_id", "edge_type", "edge_kind")
-    return H.hierarchy(H.symbol_links(table(spark, d, "symbols"), edges))
+    return H.hierarchy(H.symbol_links(table(spark, d, "symbols"), edges), paths=paths)
 
 
 def p7_found(spark, d):
     """Root and depth of every symbol that has a parent or a child."""
-    return _tree(spark, d).select("node_id", "root_id", "node_depth")
+    return _tree(spark, d, paths=False).select("node_id", "root_id", "node_depth")
 
 
 def p7_tree(spark, d):
-    """Full path, number of descendants and back edges of every node."""
+    """Full path, number of descendants, component and back edges of every node."""
     t = _tree(spark, d)
-    return t.select("node_id", "parent_id", "root_id", "node_depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("full_path"), "n_descendants")
+    return t.select("node_id", "parent_id", "root_id", "node_depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("full_path"), "n_descendants", "back_edge", "component")
 
 
 def p7_descendants(spark, d):
@@ -119,8 +119,12 @@ ORACLE = {
     "p6_gaps": _KEYS + " SELECT * FROM r",
     "p7_found": _TREE + " SELECT node_id, root_id, CAST(node_depth AS INTEGER) AS node_depth FROM tree",
     "p7_tree": _TREE
-    + """, cnt AS (SELECT ancestor_id, count(*) AS c FROM pairs GROUP BY 1)
-SELECT node_id, parent_id, root_id, CAST(node_depth AS INTEGER) AS node_depth, full_path, CAST(CASE WHEN node_depth < 0 THEN -1 ELSE coalesce(c, 0) END AS BIGINT) AS n_descendants
-FROM tree LEFT JOIN cnt ON ancestor_id = node_id""",
+    + """, cnt AS (SELECT ancestor_id, count(*) AS c FROM pairs GROUP BY 1),
+up AS (SELECT node_id AS n, parent_id AS a FROM tree WHERE node_depth < 0 UNION SELECT up.n, l.p FROM up JOIN link l ON l.c = up.a),
+ring AS (SELECT DISTINCT n FROM up WHERE n = a),
+low AS (SELECT up.n, min(up.a) AS low FROM up JOIN ring ON ring.n = up.a GROUP BY 1)
+SELECT node_id, parent_id, root_id, CAST(node_depth AS INTEGER) AS node_depth, full_path, CAST(CASE WHEN node_depth < 0 THEN -1 ELSE coalesce(c, 0) END AS BIGINT) AS n_descendants,
+  node_depth < 0 AND node_id IN (SELECT n FROM ring) AND parent_id = low AS back_edge, coalesce(low, root_id) AS component
+FROM tree LEFT JOIN cnt ON ancestor_id = node_id LEFT JOIN low ON low.n = node_id""",
     "p7_descendants": _TREE + " SELECT ancestor_id, node_id, distance FROM pairs",
 }

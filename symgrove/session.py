@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _written: dict[str, SparkSession] = {}
 
@@ -74,6 +74,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, name: str = "cut", **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`cut`, and aggregates of the rows taken while they are written, without a second pass."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(k) for k, c in counts.items()]), name)
+    return out, seen.get
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Eager checkpoint into the shared folder; for the small state of a loop."""
     shared_dir(df.sparkSession)

@@ -162,6 +162,28 @@ def test_long_chain_and_long_cycle(spark):
     assert got[1] == (300, 299) and got[300] == (300, 0) and got[1000] == (0, -1) and got[2000] == (0, -1) and len(got) == 300 + 37 + 21
 
 
+def test_large_components_have_the_same_rows(spark):
+    ring = [(1, 2), (2, 3), (3, 1), (5, 4), (4, 1), (6, 3), (7, 7), (8, 7), (9, 8)] + [(100 + i, 100 + (i + 1) % 11) for i in range(11)] + [(200 + i, 201 + i) for i in range(30)] + [(230, 104)]
+    links = spark.createDataFrame(ring + [(1000 + c, 1000 + p) for c, p in random_forest(9, 60)[:50]], "child long, parent long")
+    fields = ["node_id", "parent_id", "root_id", "node_depth", "back_edge", "component", "path", "n_descendants"]
+    small, large = (sorted(tuple(map(str, r)) for r in H.hierarchy(links, max_component=m).select(fields).collect()) for m in (10**6, 2))
+    assert small == large
+    backs = {int(r[0]) for r in small if r[4] == "True"}
+    assert backs == {3, 7, 110}
+    plain = [sorted(tuple(map(str, r)) for r in H.hierarchy(links, max_component=m, paths=False).select(fields[:6]).collect()) for m in (10**6, 2)]
+    assert plain[0] == plain[1] == [r[:6] for r in small]
+
+
+def test_walk_of_a_long_chain_holds_no_paths():
+    import tracemalloc
+
+    rows = [(i, i + 1 if i < 50_000 else None, 50_000) for i in range(1, 50_001)]
+    tracemalloc.start()
+    depth = max(r[3] for r in H._walk(rows, False))
+    assert depth == 49_999 and tracemalloc.get_traced_memory()[1] < 100 * 2**20
+    tracemalloc.stop()
+
+
 def test_no_links(spark):
     assert H.hierarchy(spark.createDataFrame([], "child long, parent long")).count() == 0
 
