@@ -18,15 +18,23 @@ LANGUAGES = {**dict.fromkeys(["cpp", "cc", "cxx", "hpp", "hxx", "c", "h"], "cpp"
 
 def tokens(text: Column) -> Column:
     """Distinct lower-case tokens of at least two bytes, split at all that is no letter or number; NULL gives none."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[^\p{IsAlphabetic}\p{N}]+"), F.lower)
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.array_distinct(F.filter(parts, lambda t: (F.octet_length(t) >= 2) & ~F.array_contains(stop, t)))
+    parts = F.array_distinct(F.split(F.coalesce(text, F.lit("")), r"[^\p{IsAlphabetic}\p{N}]+"))
+    return F.filter(F.array_distinct(F.transform(parts, F.lower)), lambda t: (F.octet_length(t) >= 2) & ~t.isin(STOP_WORDS))
+
+
+def let(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Overlap of two token arrays; 0 if both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Overlap of two arrays of distinct tokens; 0 if both are empty."""
+
+    def of(x: Column, y: Column) -> Column:
+        whole = F.size(x) + F.size(y)
+        return F.when(whole == 0, F.lit(0.0)).otherwise(let(F.size(F.array_intersect(x, y)), lambda i: i / (whole - i)))
+
+    return let(a, lambda x: let(b, lambda y: of(x, y)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgrove.functions.text import label_kind
-from symgrove.operators.hierarchy import descendants, hierarchy
-from symgrove.session import cut
+from symgrove.operators.skew import salted_join
+from symgrove.session import cut, cut_counted
 
 
 def kind_of(edges: DataFrame):
@@ -28,18 +28,25 @@ def reach(roots: DataFrame, step: DataFrame, max_depth: int) -> DataFrame:
     """root_id, id, depth of all nodes within ``max_depth`` steps of each root, by the shortest way; the root itself has depth 0.
 
     One join per level for all roots at once; nodes already met are not expanded
-    again, so cycles end. Every level is cut.
+    again, so cycles end. Every level is cut; the steps of a hub are spread over
+    many tasks.
     """
-    step = cut(step, "steps")
-    seen = cut(roots.select(F.col("id").alias("root_id"), "id").distinct().withColumn("depth", F.lit(0)), "level")
-    front = seen
+    rows = F.count(F.lit(1))
+    step, n_steps = cut_counted(step, "steps", rows=rows)
+    step = step.withColumnRenamed("from_id", "at")
+    seen, front, n = [], cut(roots.select(F.col("id").alias("root_id"), "id").distinct().withColumn("depth", F.lit(0)), "level"), 1
     for depth in range(1, max_depth + 1):
-        nxt = front.join(step, front["id"] == step["from_id"]).select("root_id", F.col("to_id").alias("id")).distinct()
-        front = cut(nxt.join(seen, ["root_id", "id"], "left_anti").withColumn("depth", F.lit(depth)), "level")
-        if not front.limit(1).count():
+        seen.append(front)
+        met = front
+        for x in seen[:-1]:
+            met = met.unionByName(x)
+        nxt = salted_join(step, front.select("root_id", F.col("id").alias("at")), ["at"], total=n_steps["rows"]).select("root_id", F.col("to_id").alias("id")).distinct()
+        front, n = cut_counted(nxt.join(met, ["root_id", "id"], "left_anti").withColumn("depth", F.lit(depth)), "level", rows=rows)
+        if not n["rows"]:
             break
-        seen = seen.unionByName(front)
-    return seen
+    for x in seen:
+        front = front.unionByName(x)
+    return front
 
 
 def call_graph(roots: DataFrame, edges: DataFrame, symbols: DataFrame, direction: str = "callers", max_depth: int = 3) -> DataFrame:
@@ -55,21 +62,17 @@ def impact(roots: DataFrame, edges: DataFrame, symbols: DataFrame, max_depth: in
 
 
 def inheritance_chain(edges: DataFrame) -> DataFrame:
-    """ancestor_id, node_id, distance by the smallest base of each class only; classes on or below a cycle are left out. ``inheritance_closure`` has all."""
-    e = edges.filter((kind_of(edges) == "inherits") & (F.col("source_id") != 0) & (F.col("target_id") != 0))
-    links = e.select(F.col("source_id").alias("child"), F.col("target_id").alias("parent"))
-    return descendants(cut(hierarchy(links), "tree"))
+    """ancestor_id, node_id, distance (the shortest) of all ancestors of every class, through each of its bases and through cycles; no class is its own ancestor.
 
-
-def inheritance_closure(edges: DataFrame) -> DataFrame:
-    """ancestor_id, node_id, distance (the shortest) of all ancestors of every class, through each of its bases and through cycles; no class is its own ancestor."""
-    near = cut(steps(edges, ["inherits"], "callees").filter("from_id <> to_id").withColumn("depth", F.lit(1)), "closure")
-    size = near.agg(F.count(F.lit(1)), F.sum("depth")).first()
-    while True:  # each round doubles the length of the ways that are known
+    Each round doubles the length of the ways that are known; a base of very many
+    classes is spread over many tasks.
+    """
+    counts = {"rows": F.count(F.lit(1)), "total": F.sum("depth")}
+    near, size = cut_counted(steps(edges, ["inherits"], "callees").filter("from_id <> to_id").withColumn("depth", F.lit(1)), "ancestors", **counts)
+    while True:
         far = near.select(F.col("from_id").alias("to_id"), F.col("to_id").alias("far"), F.col("depth").alias("more"))
-        longer = near.join(far, "to_id").filter("from_id <> far").select("from_id", F.col("far").alias("to_id"), (F.col("depth") + F.col("more")).alias("depth"))
-        near = cut(near.unionByName(longer).groupBy("from_id", "to_id").agg(F.min("depth").alias("depth")), "closure")
-        now = near.agg(F.count(F.lit(1)), F.sum("depth")).first()
+        longer = salted_join(near, far, ["to_id"], total=size["rows"]).filter("from_id <> far").select("from_id", F.col("far").alias("to_id"), (F.col("depth") + F.col("more")).alias("depth"))
+        near, now = cut_counted(near.unionByName(longer).groupBy("from_id", "to_id").agg(F.min("depth").alias("depth")), "ancestors", **counts)
         if now == size:
             return near.select(F.col("to_id").alias("ancestor_id"), F.col("from_id").alias("node_id"), F.col("depth").alias("distance"))
         size = now

@@ -163,3 +163,26 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], share: float =
     out = rest.join(h, keys, "left_semi").join(few, keys, "left").select(*left.columns, *extra)
     cold = rest.join(h, keys, "left_anti").join(right, keys, "left").select(*left.columns, *extra)
     return out.unionByName(cold).unionByName(nulls)
+
+
+#: Parts into which the rows of a hot key are split by salting.
+SALTS = 32
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], share: float = HOT_SHARE, total: int | None = None) -> DataFrame:
+    """Inner join on ``keys``, which may stand many times on both sides.
+
+    Rows of ``left`` with a hot key are spread over SALTS tasks, and the rows of
+    ``right`` with that key (at most 1/share keys) go to each of them. ``left`` is
+    read three times, so it should be a table or cut before.
+    """
+    hot = hot_keys(left, keys, share, total)
+    if not hot:
+        return left.join(right, keys)
+
+    def is_hot():
+        return F.struct(*keys).isin([F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, t)]) for t in hot])
+
+    many = F.when(is_hot(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    one = F.when(is_hot(), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    return left.withColumn("_salt", one).join(right.withColumn("_salt", F.explode(many)), [*keys, "_salt"]).drop("_salt")

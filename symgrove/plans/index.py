@@ -202,7 +202,7 @@ def index_includes(spark: SparkSession, store: Store, root: str, repo: str) -> N
 def index_links(store: Store, repo: str, threshold: float) -> int:
     """Links of the repo's sections to its symbols, in place of the old ones."""
     d, s = (store.read(t).filter(F.col("repo") == repo) for t in ("doc_nodes", "symbols"))
-    links = cut(doc_code_links(d.select("id", doc_tokens(d).alias("tokens")), s.select("id", symbol_tokens(s).alias("tokens")), threshold).withColumn("repo", F.lit(repo)), "links")
+    links = cut(doc_code_links(d.select("id", "repo", doc_tokens(d).alias("tokens")), s.select("id", "repo", symbol_tokens(s).alias("tokens")), threshold).withColumn("repo", F.lit(repo)), "links")
     store.write("doc_code_links", store.read("doc_code_links").filter(F.col("repo") != repo).unionByName(links))
     return links.count()
 

@@ -13,8 +13,9 @@ from symgrove.operators import resolve as R
 from symgrove.operators import search as Q
 from symgrove.operators import stats as A
 from symgrove.operators import store as W
+from symgrove.operators.skew import hot_join
 from symgrove.plans.index import LINK_THRESHOLD
-from symgrove.session import table
+from symgrove.session import cut, table
 from symgrove.streaming.ingest import windowed_counts
 
 QUERIES: dict = {}
@@ -22,7 +23,6 @@ ORACLE: dict[str, str] = {}
 
 #: Fixed parameters of the registered queries.
 PATTERN, NAME, MISSING, TEXT, ASK = "queue", "atlas", "load_", "attempts", "which entries of the symbol table are kept in memory after a full scan"
-LINK_MIN = 0.3
 IGNORE = ["tests/", "*.go", "generated*", "third_party"]
 BRANCH = "main"
 
@@ -149,31 +149,19 @@ def semantic_search_many(spark, d):
 
 def _sides(spark, d):
     docs, syms = table(spark, d, "doc_nodes"), table(spark, d, "symbols")
-    return docs.select("id", Q.doc_tokens(docs).alias("tokens")), syms.select("id", Q.symbol_tokens(syms).alias("tokens"))
+    return docs.select("id", "repo", Q.doc_tokens(docs).alias("tokens")), syms.select("id", "repo", Q.symbol_tokens(syms).alias("tokens"))
 
 
 @query(
-    f"""WITH a AS (SELECT list_sort({_sql_tokens(_DOC_TEXT)}) AS t, min(id) AS left_id, count(*) AS n_left FROM doc_nodes GROUP BY 1),
-b AS (SELECT list_sort({_sql_tokens(_SYM_TEXT)}) AS t, min(id) AS right_id, count(*) AS n_right FROM symbols GROUP BY 1),
-ea AS (SELECT left_id, unnest(t) AS w FROM a), eb AS (SELECT right_id, unnest(t) AS w FROM b),
-i AS (SELECT left_id, right_id, count(*) AS i FROM ea JOIN eb USING (w) GROUP BY 1, 2)
-SELECT left_id, right_id, n_left, n_right, round(i / (len(a.t) + len(b.t) - i), 6) AS strength FROM i JOIN a USING (left_id) JOIN b USING (right_id) WHERE i / (len(a.t) + len(b.t) - i) >= {LINK_MIN}"""
-)
-def link_pairs(spark, d):
-    """Links of sections to symbols between distinct token sets."""
-    return L.similarity_join(*_sides(spark, d), LINK_MIN)
-
-
-@query(
-    f"""WITH a AS (SELECT list_sort({_sql_tokens(_DOC_TEXT)}) AS t, min(id) AS left_id, count(*) AS n_left FROM doc_nodes GROUP BY 1),
-b AS (SELECT list_sort({_sql_tokens(_SYM_TEXT)}) AS t, min(id) AS right_id, count(*) AS n_right FROM symbols GROUP BY 1),
-ea AS (SELECT left_id, unnest(t) AS w FROM a), eb AS (SELECT right_id, unnest(t) AS w FROM b),
-i AS (SELECT left_id, right_id, count(*) AS i FROM ea JOIN eb USING (w) GROUP BY 1, 2)
+    f"""WITH a AS (SELECT coalesce(repo, '') AS repo, list_sort({_sql_tokens(_DOC_TEXT)}) AS t, min(id) AS left_id, count(*) AS n_left FROM doc_nodes GROUP BY 1, 2),
+b AS (SELECT coalesce(repo, '') AS repo, list_sort({_sql_tokens(_SYM_TEXT)}) AS t, min(id) AS right_id, count(*) AS n_right FROM symbols GROUP BY 1, 2),
+ea AS (SELECT repo, left_id, unnest(t) AS w FROM a), eb AS (SELECT repo, right_id, unnest(t) AS w FROM b),
+i AS (SELECT left_id, right_id, count(*) AS i FROM ea JOIN eb USING (repo, w) GROUP BY 1, 2)
 SELECT left_id, right_id, n_left, n_right, round(i / (len(a.t) + len(b.t) - i), 6) AS strength FROM i JOIN a USING (left_id) JOIN b USING (right_id) WHERE i / (len(a.t) + len(b.t) - i) >= {LINK_THRESHOLD}"""
 )
-def link_pairs_production(spark, d):
-    """Links of sections to symbols between distinct token sets, at the threshold of the indexing pipeline."""
-    return L.similarity_join(*_sides(spark, d), LINK_THRESHOLD)
+def link_pairs(spark, d):
+    """Links of sections to symbols of the same repo between distinct token sets, at the threshold of the indexing pipeline."""
+    return L.similarity_join(*_sides(spark, d), LINK_THRESHOLD, by="repo")
 
 
 @query(f"WITH t AS (SELECT id, list_sort({_sql_tokens(_DOC_TEXT)}) AS t FROM doc_nodes) SELECT id, min(id) OVER (PARTITION BY t) AS class_id FROM t WHERE len(t) > 0")
@@ -212,37 +200,20 @@ def callees(spark, d):
     return G.call_graph(_roots(spark, d), table(spark, d, "edges"), table(spark, d, "symbols"), "callees", 3)
 
 
-@query(_reach_sql("id % 50 = 0", "target_id AS a, source_id AS b", 2))
-def impact(spark, d):
-    """What depends on every 50th symbol, by any edge, up to depth 2."""
-    return G.impact(_roots(spark, d), table(spark, d, "edges"), table(spark, d, "symbols"), 2)
-
-
 @query(_reach_sql("id % 50 = 0", "target_id AS a, source_id AS b", 3))
-def impact_full(spark, d):
+def impact(spark, d):
     """What depends on every 50th symbol, by any edge, up to the default depth."""
     return G.impact(_roots(spark, d), table(spark, d, "edges"), table(spark, d, "symbols"))
 
 
-@query(
-    f"""WITH RECURSIVE p AS (SELECT source_id AS c, min(target_id) AS p FROM edges WHERE {_KIND} = 'inherits' AND source_id <> 0 AND target_id <> 0 GROUP BY 1),
-n AS (SELECT c AS n FROM p UNION SELECT p FROM p),
-w AS (SELECT n AS node, [n] AS path FROM n WHERE n NOT IN (SELECT c FROM p) UNION ALL SELECT p.c, list_append(path, p.c) FROM w JOIN p ON p.p = w.node)
-SELECT path[i] AS ancestor_id, node AS node_id, CAST(len(path) - i AS INTEGER) AS distance FROM (SELECT node, path, unnest(range(1, len(path))) AS i FROM w)"""
-)
-def inheritance_chain(spark, d):
-    """Ancestors of every class by the smallest base of each; inheritance_closure has all."""
-    return G.inheritance_chain(table(spark, d, "edges"))
-
-
 @query(
     f"""WITH RECURSIVE p AS (SELECT DISTINCT source_id AS c, target_id AS p FROM edges WHERE {_KIND} = 'inherits' AND source_id <> 0 AND target_id <> 0),
 w AS (SELECT c AS node, p AS anc, [c, p] AS path FROM p WHERE c <> p UNION ALL SELECT node, p.p, list_append(path, p.p) FROM w JOIN p ON p.c = w.anc WHERE NOT list_contains(path, p.p))
 SELECT anc AS ancestor_id, node AS node_id, CAST(min(len(path)) - 1 AS INTEGER) AS distance FROM w GROUP BY 1, 2"""
 )
-def inheritance_closure(spark, d):
+def inheritance_chain(spark, d):
     """All ancestors of every class, through all of its bases."""
-    return G.inheritance_closure(table(spark, d, "edges"))
+    return G.inheritance_chain(table(spark, d, "edges"))
 
 
 @query(
@@ -280,8 +251,8 @@ arg_min({'s': signature}, (recorded_at, id)).s AS signature FROM symbols GROUP B
 def upsert_symbols(spark, d):
     """Re-indexed symbols merged: the first row stays, with the latest lines."""
     s = table(spark, d, "symbols")
-    cut = F.col("recorded_at") < F.lit("2024-01-01").cast("timestamp_ntz")
-    merged = W.upsert_symbols(s.filter(cut), s.filter(~cut), ["recorded_at", "id"])
+    early = F.col("recorded_at") < F.lit("2024-01-01").cast("timestamp_ntz")
+    merged = W.upsert_symbols(s.filter(early), s.filter(~early), ["recorded_at", "id"])
     return merged.select("id", "repo", "name", "kind", "file_path", "content_hash", "line_start", "line_end", "signature")
 
 
@@ -409,12 +380,10 @@ def nearest_vectors_many(spark, d):
 @query("SELECT e.id AS edge_id, coalesce(s.name, '') AS source_name, coalesce(t.name, '') AS target_name FROM edges e LEFT JOIN symbols s ON s.id = e.source_id LEFT JOIN symbols t ON t.id = e.target_id")
 def edge_names(spark, d):
     """Names of both ends of every edge, '' where there is no symbol."""
-    from symgrove.operators.skew import hot_join
-
     e = table(spark, d, "edges").select(F.col("id").alias("edge_id"), "source_id", "target_id")
     n = table(spark, d, "symbols")
     a = hot_join(e, n.select(F.col("id").alias("source_id"), F.col("name").alias("sn")), ["source_id"])
-    b = hot_join(a, n.select(F.col("id").alias("target_id"), F.col("name").alias("tn")), ["target_id"])
+    b = hot_join(cut(a, "named"), n.select(F.col("id").alias("target_id"), F.col("name").alias("tn")), ["target_id"])
     return b.select("edge_id", F.coalesce("sn", F.lit("")).alias("source_name"), F.coalesce("tn", F.lit("")).alias("target_name"))
 
 

@@ -111,16 +111,34 @@ def test_similarity_join(spark):
     import random
 
     rnd = random.Random(0)
-    a = [(i, rnd.sample("abcdefghij", rnd.randint(0, 6))) for i in range(60)]
-    b = [(i, rnd.sample("abcdefghij", rnd.randint(0, 6))) for i in range(60)]
-    da, db = (spark.createDataFrame(x, "id long, tokens array<string>") for x in (a, b))
-    for t in (0.3, 0.5, 1.0):
-        want = {(i, j) for i, x in a for j, y in b if x and y and len({*x} & {*y}) / len({*x} | {*y}) >= t}
-        assert {(r.doc_node_id, r.symbol_id) for r in L.doc_code_links(da, db, t).collect()} == want
+    a = [(i, rnd.choice(["r", "q", None]), rnd.sample("abcdefghij", rnd.randint(0, 6))) for i in range(60)]
+    b = [(i, rnd.choice(["r", "q", "", "p"]), rnd.sample("abcdefghij", rnd.randint(0, 6))) for i in range(60)]
+    da, db = (spark.createDataFrame(x, "id long, repo string, tokens array<string>") for x in (a, b))
+
+    def like(x, y, t):
+        return x and y and len({*x} & {*y}) / len({*x} | {*y}) >= t
+
+    want = {(i, j) for i, r, x in a for j, q, y in b if (r or "") == (q or "") and like(x, y, 0.3)}
+    assert {(r.doc_node_id, r.symbol_id) for r in L.doc_code_links(da, db, 0.3).collect()} == want
+    for t, rows in ((0.05, 7), (1.0, 2000)):
+        left, right = ({frozenset(x) for _, _, x in side if x} for side in (a, b))
+        want = sorted((min(i for i, _, z in a if {*z} == x), min(i for i, _, z in b if {*z} == y)) for x in left for y in right if like(x, y, t))
+        assert sorted((r.left_id, r.right_id) for r in L.similarity_join(da, db, t, block_rows=rows).collect()) == want
+    assert L.similarity_join(da.limit(0), db, 0.1, by="repo").count() == 0
     with pytest.raises(ValueError):
         L.similarity_join(da, db, 0)
 
 
+def test_salted_join(spark, monkeypatch):
+    from symgrove.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 0)
+    left = spark.createDataFrame([(7 if i % 2 else i, i) for i in range(300)] + [(None, 1)], "k long, a long")
+    right = spark.createDataFrame([(7, 1), (7, 2), (4, 3), (4, 4), (5, 5), (None, 6)], "k long, b long")
+    got = sorted(tuple(r) for r in skew.salted_join(left, right, ["k"], share=0.1).collect())
+    assert got == sorted(tuple(r) for r in left.join(right, "k").collect()) and len(got) == 302
+
+
 def test_resolve(spark):
     s = spark.createDataFrame([(1, "r", "f", "x"), (2, "r", "g", "x"), (3, "r", "g", "y"), (4, "q", "f", "z")], "id long, repo string, file_path string, name string")
     raw = spark.createDataFrame([("r", "g", "x"), ("r", "f", "y"), ("r", "f", "z"), ("r", "f", None)], "repo string, file_path string, edge_target string")
@@ -219,14 +237,14 @@ def test_index(spark, tmp_path):
 def test_production_links_are_registered(spark, data):
     from symgrove.plans.catalogue import QUERIES
 
-    got = [r.strength for r in QUERIES["link_pairs_production"](spark, data).collect()]
+    got = [r.strength for r in QUERIES["link_pairs"](spark, data).collect()]
     assert min(got) >= I.LINK_THRESHOLD == 0.05 and any(x < 0.3 for x in got)
 
 
 def test_all_bases_are_ancestors(spark):
     e = [(3, 1), (3, 2), (4, 3), (2, 5), (6, 7), (7, 6), (8, 6), (9, 9), (10, 9), (4, 5), (11, 0)]
     edges = spark.createDataFrame([(a, b, "inherits:x", None) for a, b in e + e[:2]] + [(1, 12, "calls:x", None)], "source_id long, target_id long, edge_type string, edge_kind string")
-    got = sorted(tuple(r) for r in G.inheritance_closure(edges).select("node_id", "ancestor_id", "distance").collect())
+    got = sorted(tuple(r) for r in G.inheritance_chain(edges).select("node_id", "ancestor_id", "distance").collect())
     assert got == [(2, 5, 1), (3, 1, 1), (3, 2, 1), (3, 5, 2), (4, 1, 2), (4, 2, 2), (4, 3, 1), (4, 5, 1), (6, 7, 1), (7, 6, 1), (8, 6, 1), (8, 7, 2), (10, 9, 1)]
 
 
