@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_GLOSSARY = re.compile(r"^#{1,4}\s+(?P<alias>.+?)\s*[(/→]\s*(?P<branch>[a-zA-Z0-9][-a-zA-Z0-9/_.]+)\s*\)?")
+#: Fixed value: pattern of a heading that names a branch.
+GLOSSARY_HEADING = re.compile(r"^#{1,4}\s+(.+?)\s*[\(/→]\s*([a-zA-Z0-9][-a-zA-Z0-9/_\.]+)\s*[\)]?")
 
 
 def split_lines(text: str) -> list[str]:
@@ -53,17 +54,19 @@ def sections(text: str, title: str) -> list[tuple[str, str, str, int]]:
 
 def glossary(text: str) -> list[tuple[str, str, str]]:
     """(alias, branch, description) of headings like ``## alias (branch)``; the description is the lines up to a blank or a heading."""
-    lines, out = split_lines(text), []
-    for i, line in enumerate(lines):
-        m = _GLOSSARY.match(line)
-        if m:
-            words = []
-            for x in map(str.strip, lines[i + 1 :]):
-                if not x or x.startswith("#"):
-                    break
-                words.append(x)
-            out.append((m["alias"].strip(), m["branch"].strip(), " ".join(words)))
-    return out
+    found: list[tuple[str, str, list[str]]] = []
+    words: list[str] | None = None  # of the entry that is still open
+    for line in split_lines(text):
+        bare = line.strip()
+        if not bare or bare[0] == "#":
+            words = None
+            heading = GLOSSARY_HEADING.match(line)
+            if heading:
+                words = []
+                found.append((*(x.strip() for x in heading.groups()), words))
+        elif words is not None:
+            words.append(bare)
+    return [(alias, branch, " ".join(w)) for alias, branch, w in found]
 
 
 def _exploded(df: DataFrame, fn, n_keys: int, names: list[str], types: list[pa.DataType], schema: str) -> DataFrame:

@@ -15,8 +15,9 @@ from symgrove.operators.link import doc_code_links
 from symgrove.operators.resolve import resolve_targets
 from symgrove.operators.search import doc_tokens, symbol_tokens
 from symgrove.operators.skew import number_rows
-from symgrove.operators.store import Store, delete_branch, insert_or_ignore, replace_latest
-from symgrove.session import cut
+from symgrove.operators.store import Store, add_branch, delete_branch, insert_or_ignore, replace_latest
+from symgrove.schemas import SCHEMAS, empty
+from symgrove.session import cut, cut_counted
 from symgrove.sources import files as S
 from symgrove.sources import git
 
@@ -39,6 +40,8 @@ class IndexResult:
     edges: int
     sections: int
     links: int
+    includes: int = 0  # directives met, repeats counted
+    unreadable: int = 0  # source files that are no UTF-8
 
 
 def extract_files(files: DataFrame) -> DataFrame:
@@ -91,10 +94,6 @@ def _numbered(df: DataFrame, after: int, order: list[str]) -> DataFrame:
     return number_rows(df.withColumn("_all", F.lit(0)), ["_all"], order).withColumn("id", F.col("rn") + F.lit(after + 1)).drop("_all", "rn")
 
 
-def _top_id(df: DataFrame) -> int:
-    return df.agg(F.max("id")).first()[0] or 0
-
-
 def index(spark: SparkSession, store: Store, root: str, repo: str, branch: str | None = None, parent: str | None = None, link_threshold: float = LINK_THRESHOLD) -> IndexResult:
     """Bring the store up to date with the tree at ``root``.
 
@@ -106,7 +105,7 @@ def index(spark: SparkSession, store: Store, root: str, repo: str, branch: str |
     """
     branch = branch or git.current_branch(root) or "main"
     head = git.head_commit(root)
-    states = store.read("git_index_state").filter(F.col("repo") == repo)
+    states = store.read("git_index_state", repo)
     heads = {r["branch_name"]: r["head_commit"] for r in states.select("branch_name", "head_commit").collect()}  # one row per branch of one repo
     mode, since, base_branch = "full", None, None
     if head and heads.get(branch) == head:
@@ -120,98 +119,101 @@ def index(spark: SparkSession, store: Store, root: str, repo: str, branch: str |
     changed = git.changed_files(root, since) if since else None
     if since and changed is None:
         mode, base_branch = "full", None
-    old = store.read("symbols")
-    members = store.read("branches")
-    n_files = n_symbols = n_edges = 0
+    # everything is of this repository from here on; the others' parts are not opened
+    old = store.read("symbols", repo)
+    members = store.read("branches", repo)
+    n_files = n_symbols = n_edges = n_bad = 0
     if mode != "up to date":
         src = S.scan_sources(spark, root)
         if changed is not None:
             names = spark.createDataFrame([(x,) for x in changed], "path string")
             src = src.join(names, "path", "left_semi")
-        src = src.select(F.lit(repo).alias("repo"), F.col("path").alias("file_path"), "content", "language")
-        raw = cut(extract_files(src), "raw")
-        n_files = raw.count()
+        src, n = cut_counted(src.select(F.lit(repo).alias("repo"), F.col("path").alias("file_path"), "content", "language", "valid"), "sources", files=F.count_if("valid"), bad=F.count_if(~F.col("valid")))
+        n_files, n_bad = n["files"], n["bad"]
+        raw = cut(extract_files(src.filter("valid")), "raw")
         fresh = new_symbols(raw)
         key = ["content_hash", "file_path", "name", "repo"]
         known = old.select(*key, F.col("id").alias("old_id"))
         j = cut(fresh.join(known, key, "left"), "fresh")
-        added = assign_ids(j.filter("old_id is null").drop("old_id"), _top_id(old))
+        added = assign_ids(j.filter("old_id is null").drop("old_id"), store.top_id("symbols"))
         kept = j.filter("old_id is not null").withColumnRenamed("old_id", "id")
         now = cut(added.unionByName(kept.select(added.columns)), "now")
         n_symbols = now.count()
         touched = src.select("repo", "file_path") if changed is None else spark.createDataFrame([(repo, x) for x in changed], "repo string, file_path string")
         # other branches may still need the old symbols of a file, so only this branch lets go of them
-        mine = members.filter((F.col("repo") == repo) & (F.col("branch_name") == (base_branch or branch)))
+        mine = members.filter(F.col("branch_name") == (base_branch or branch))
         stay = spark.createDataFrame([], mine.schema)
         if changed is not None:
             file_of = old.select(F.col("id").alias("symbol_id"), "file_path")
             gone = touched.select("file_path").distinct()
             stay = mine.join(file_of, "symbol_id").join(gone, "file_path", "left_anti").select(mine.columns).withColumn("branch_name", F.lit(branch))
-        others = members.filter(~((F.col("repo") == repo) & (F.col("branch_name") == branch)))
-        add = now.select(F.col("id").alias("symbol_id"), "repo", F.lit(branch).alias("branch_name"), F.lit(None).cast("string").alias("override_def"), F.lit(None).cast("string").alias("override_hash"))
-        members = cut(others.unionByName(stay).unionByName(add).distinct(), "members")
+        others = members.filter(~F.coalesce(F.col("branch_name") == branch, F.lit(False)))
+        members = cut(add_branch(others.unionByName(stay), now, repo, branch), "members")
         used = members.select(F.col("symbol_id").alias("id")).distinct()
         lines = now.select("id", F.col("line_start").alias("ls"), F.col("line_end").alias("le"))
         rest = old.join(lines, "id", "left").withColumn("line_start", F.coalesce("ls", "line_start")).withColumn("line_end", F.coalesce("le", "line_end")).select(old.columns)
         brand = now.join(old.select("id"), "id", "left_anti").select(old.columns)
         all_symbols = cut(rest.unionByName(brand).join(used, "id", "left_semi"), "symbols")
-        of_repo = all_symbols.filter(F.col("repo") == repo)
-        edges = new_edges(raw, now.select(*key, "id").unionByName(of_repo.select(*key, "id")).distinct(), branch)
-        old_edges = store.read("edges").join(all_symbols.select(F.col("id").alias("source_id")).unionByName(spark.createDataFrame([(0,)], "source_id long")), "source_id", "left_semi")
+        edges = new_edges(raw, now.select(*key, "id").unionByName(all_symbols.select(*key, "id")).distinct(), branch)
+        old_edges = store.read("edges", repo).join(all_symbols.select(F.col("id").alias("source_id")).unionByName(spark.createDataFrame([(0,)], "source_id long")), "source_id", "left_semi")
         old_edges = old_edges.join(now.select(F.col("id").alias("source_id")), "source_id", "left_anti")
         merged = cut(insert_or_ignore(old_edges.select(edges.columns), edges, ["source_id", "edge_type", "source_repo"], ["edge_target"]), "edges")
         n_edges = merged.count()
-        store.write("symbols", all_symbols)
-        store.write("branches", members)
-        store.write("edges", _numbered(merged, 0, ["source_repo", "source_id", "edge_type"]))
+        store.replace("symbols", repo, all_symbols)
+        store.replace("branches", repo, members)
+        store.replace("edges", repo, _numbered(merged, store.top_id("edges", without=repo), ["source_id", "edge_type"]))
         if head:
             row = [(repo, branch, head, base_branch, "branch", n_files, datetime.now(UTC).replace(tzinfo=None))]
-            state = spark.createDataFrame(row, store.read("git_index_state").schema)
-            store.write("git_index_state", replace_latest(store.read("git_index_state").unionByName(state), ["repo", "branch_name"], ["indexed_at"]))
+            store.replace("git_index_state", repo, replace_latest(states.unionByName(spark.createDataFrame(row, states.schema)), ["repo", "branch_name"], ["indexed_at"]))
     n_sections = index_docs(spark, store, root, repo, branch)
-    index_includes(spark, store, root, repo)
+    n_includes = index_includes(spark, store, root, repo)
     n_links = index_links(store, repo, link_threshold)
-    return IndexResult(mode, n_files, n_symbols, n_edges, n_sections, n_links)
+    return IndexResult(mode, n_files, n_symbols, n_edges, n_sections, n_links, n_includes, n_bad)
 
 
 def index_docs(spark: SparkSession, store: Store, root: str, repo: str, branch: str) -> int:
     """Sections and glossary of the documentation files, in place of those of the same files."""
     files = S.scan_docs(spark, root).select(F.lit(repo).alias("repo"), F.col("path").alias("file_path"), "content")
     found = D.doc_sections(files).withColumn("file_format", F.regexp_extract("file_path", r"\.([^.]*)$", 1)).withColumn("branch_name", F.lit(branch))
-    found = cut(found, "sections")
-    others = store.read("doc_nodes").filter(F.col("repo") != repo)
-    fresh = _numbered(found, _top_id(others), ["file_path", "ordinal"]).select(others.columns)
-    store.write("doc_nodes", others.unionByName(fresh))
+    fresh = _numbered(cut(found, "sections"), store.top_id("doc_nodes", without=repo), ["file_path", "ordinal"])
+    n = store.replace("doc_nodes", repo, fresh)
     g = D.branch_glossary(files).select("repo", "branch_name", "alias", "description", F.col("file_path").alias("doc_path"))
-    old = store.read("branch_glossary")
-    store.write("branch_glossary", replace_latest(old.withColumn("_o", F.lit(0)).unionByName(g.withColumn("_o", F.lit(1))), ["repo", "branch_name", "alias"], ["_o", "doc_path"]).drop("_o"))
-    return found.count()
+    _add_aliases(store, repo, g)
+    return n
+
 
+def _add_aliases(store: Store, repo: str, rows: DataFrame) -> None:
+    """New rows of an alias take the place of stored ones; of several new ones the last by document stays."""
+    both = store.read("branch_glossary", repo).withColumn("_o", F.lit(0)).unionByName(rows.withColumn("_o", F.lit(1)))
+    store.replace("branch_glossary", repo, replace_latest(both, ["repo", "branch_name", "alias"], ["_o", "doc_path"]).drop("_o"))
 
-def index_includes(spark: SparkSession, store: Store, root: str, repo: str) -> None:
-    """Include edges of the repo, one for each header."""
+
+def index_includes(spark: SparkSession, store: Store, root: str, repo: str) -> int:
+    """Include edges of the repo, one for each header; the number of directives."""
     files = S.scan_headers(spark, root).select(F.lit(repo).alias("repo"), F.col("path").alias("file_path"), "content")
-    inc = D.include_edges(D.file_includes(files))
-    cols = inc.columns
-    old = store.read("edges")
-    kept = old.filter(~((F.col("edge_kind") == "includes") & (F.col("source_repo") == repo)))
-    new = _numbered(cut(inc, "includes"), _top_id(kept), ["edge_type"]).withColumn("target_repo", F.lit(None).cast("string")).withColumn("branch_name", F.lit(None).cast("string"))
-    store.write("edges", kept.unionByName(new.select(["id", *cols, "target_repo", "branch_name"]).select(kept.columns)))
+    inc, n = cut_counted(D.file_includes(files), "includes", rows=F.count(F.lit(1)))
+    kept = store.read("edges", repo).filter(~F.coalesce(F.col("edge_kind") == "includes", F.lit(False)))
+    none = F.lit(None).cast("string")
+    new = _numbered(D.include_edges(inc), store.top_id("edges"), ["edge_type"]).withColumns({"target_repo": none, "branch_name": none})
+    store.replace("edges", repo, kept.unionByName(new.select(kept.columns)))
+    return n["rows"]
 
 
 def index_links(store: Store, repo: str, threshold: float) -> int:
     """Links of the repo's sections to its symbols, in place of the old ones."""
-    d, s = (store.read(t).filter(F.col("repo") == repo) for t in ("doc_nodes", "symbols"))
-    links = cut(doc_code_links(d.select("id", "repo", doc_tokens(d).alias("tokens")), s.select("id", "repo", symbol_tokens(s).alias("tokens")), threshold).withColumn("repo", F.lit(repo)), "links")
-    store.write("doc_code_links", store.read("doc_code_links").filter(F.col("repo") != repo).unionByName(links))
-    return links.count()
+    d, s = store.read("doc_nodes", repo), store.read("symbols", repo)
+    links = doc_code_links(d.select("id", "repo", doc_tokens(d).alias("tokens")), s.select("id", "repo", symbol_tokens(s).alias("tokens")), threshold)
+    return store.replace("doc_code_links", repo, links.withColumn("repo", F.lit(repo)))
 
 
 def set_alias(store: Store, repo: str, branch: str, alias: str, description: str | None = None) -> None:
     """Name a branch; the newest description of an alias stays."""
-    row = store.spark.createDataFrame([(repo, branch, alias, description, None)], store.read("branch_glossary").schema)
-    old = store.read("branch_glossary").withColumn("_o", F.lit(0)).unionByName(row.withColumn("_o", F.lit(1)))
-    store.write("branch_glossary", replace_latest(old, ["repo", "branch_name", "alias"], ["_o"]).drop("_o"))
+    _add_aliases(store, repo, store.spark.createDataFrame([(repo, branch, alias, description, None)], store.read("branch_glossary").schema))
+
+
+def list_aliases(store: Store, repo: str) -> DataFrame:
+    """alias, branch_name, description of a repo's aliases, by alias and branch."""
+    return store.read("branch_glossary", repo).select("alias", "branch_name", "description").orderBy("alias", "branch_name")
 
 
 def clean(store: Store, repo: str | None = None, branch: str | None = None) -> None:
@@ -220,9 +222,10 @@ def clean(store: Store, repo: str | None = None, branch: str | None = None) -> N
         store.drop()
         return
     if branch is None:
-        for t, col in (("symbols", "repo"), ("branches", "repo"), ("git_index_state", "repo"), ("branch_glossary", "repo"), ("doc_nodes", "repo"), ("edges", "source_repo"), ("doc_code_links", "repo")):
-            df = store.read(t)
-            store.write(t, df.filter(~F.coalesce(F.col(col) == repo, F.lit(False))))
+        for t in SCHEMAS:
+            store.replace(t, repo, empty(store.spark, t))
         return
     for t in ("branches", "git_index_state", "branch_glossary", "doc_nodes"):
-        store.write(t, delete_branch(store.read(t), branch, repo))
+        for part in {repo, ""}:  # rows without a repo go too
+            rows = store.read(t, part)
+            store.replace(t, part, delete_branch(rows, branch, repo))

@@ -21,6 +21,8 @@ KEYS = {
     "branch_glossary": ["repo", "branch_name", "alias"],
     "doc_code_links": ["doc_node_id", "symbol_id"],
 }
+#: Column that names the repository, where it is not ``repo``.
+REPO = {"edges": "source_repo"}
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:

@@ -42,8 +42,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests, a laptop) a folder of this process is made
-    and removed at exit.
+    Only where it is unset and the master is local (tests, a laptop) a folder of
+    this process is made and removed at exit; on a cluster that is an error.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -51,6 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(path)
         return path.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = os.environ.get("SYMGROVE_SHARED_DIR")
     if not path:
         path = tempfile.mkdtemp(prefix="symgrove-")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from symgrove.functions.text import language_of
-from symgrove.operators.store import Store, upsert_symbols
+from symgrove.operators.store import Store
 from symgrove.plans.index import assign_ids, extract_files, new_symbols
 from symgrove.session import cut
 
@@ -20,12 +20,24 @@ def source_stream(spark: SparkSession, folder: str, repo: str) -> DataFrame:
 
 
 def ingest(files: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
-    """Upsert the symbols of every micro-batch into the store, for what is there now; a batch that is run again changes nothing."""
+    """Bring the symbols of every micro-batch into the store, for what is there now.
+
+    A file that comes again takes the place of its old symbols, which keep their ids
+    where they are the same; a batch that is run again changes nothing. Only the
+    repositories of the batch are rewritten.
+    """
+    key = ["content_hash", "file_path", "name", "repo"]
 
     def batch(df: DataFrame, _: int) -> None:
-        old = store.read("symbols")
-        fresh = assign_ids(new_symbols(cut(extract_files(df), "raw")), old.agg(F.max("id")).first()[0] or 0)
-        store.write("symbols", cut(upsert_symbols(old, fresh.select(old.columns), ["id"]), "symbols"))
+        raw = cut(extract_files(df), "raw")
+        for (repo,) in raw.select("repo").distinct().collect():  # a source stream has one
+            own = raw.filter(F.col("repo") == repo)
+            old = store.read("symbols", repo)
+            fresh = cut(new_symbols(own).join(old.select(*key, F.col("id").alias("old_id")), key, "left"), "fresh")
+            added = assign_ids(fresh.filter("old_id is null").drop("old_id"), store.top_id("symbols"))
+            now = added.unionByName(fresh.filter("old_id is not null").withColumnRenamed("old_id", "id").select(added.columns))
+            kept = old.join(own.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_anti")
+            store.replace("symbols", repo, cut(kept.select(old.columns).unionByName(now.select(old.columns)), "symbols"))
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
