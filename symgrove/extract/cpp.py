@@ -318,7 +318,7 @@ class Extractor:
         if re.search(r"(?<![=!<>])=(?!=)", p) or not p.strip() or "..." in p:
             return None
         t = self.type_of(p)
-        m = re.match(r"((?:unsigned|signed|long|short|struct|class|enum)\s+)*[\w:]+(?:\s*<.*>(?:::\w+)*)?", t)
+        m = re.match(r"(?:(?:struct|class|enum)\s+)?(?:(?:(?:unsigned|signed|long|short)\b\s*)+(?:(?:int|char|double)\b)?|[\w:]+(?:\s*<.*>(?:::\w+)*)?)", t)
         t = squeeze(m[0]) if m else t
         return None if t in ("", "void") else t
 

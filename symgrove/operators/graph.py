@@ -10,7 +10,7 @@ from symgrove.operators.skew import salted_join
 from symgrove.session import cut, cut_counted
 
 
-def kind_of(edges: DataFrame):
+def kind_of(edges: DataFrame | None = None):
     """Kind of an edge, also where only the label is set."""
     return F.coalesce(F.col("edge_kind"), label_kind(F.col("edge_type")))
 

@@ -37,11 +37,12 @@ def top_referenced(edges: DataFrame, symbols: DataFrame, limit: int = 10) -> Dat
     return refs.join(s, "target_id").orderBy(F.desc("refs"), "target_id").limit(limit).select("target_id", "name", "kind", "refs")
 
 
-def status(symbols: DataFrame, edges: DataFrame, docs: DataFrame) -> DataFrame:
-    """Per repo: n_symbols, n_edges, n_resolved, pct_resolved (0 without edges), n_docs."""
+def status(symbols: DataFrame, edges: DataFrame, docs: DataFrame, links: DataFrame) -> DataFrame:
+    """Per repo: n_symbols, n_edges, n_resolved, pct_resolved (0 without edges), n_docs, n_links (links with their section's ``repo``)."""
     s = symbols.groupBy("repo").agg(F.count(F.lit(1)).alias("n_symbols"))
     e = edges.groupBy(F.col("source_repo").alias("repo")).agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("target_id") != 0).alias("n_resolved")).filter("repo is not null")
     d = docs.groupBy("repo").agg(F.count(F.lit(1)).alias("n_docs"))
-    j = s.join(e, "repo", "full").join(d, "repo", "full").na.fill(0)
+    k = links.groupBy("repo").agg(F.count(F.lit(1)).alias("n_links"))
+    j = s.join(e, "repo", "full").join(d, "repo", "full").join(k, "repo", "full").na.fill(0)
     pct = F.when(F.col("n_edges") > 0, F.round(100.0 * F.col("n_resolved") / F.col("n_edges"), 6)).otherwise(0.0)
-    return j.select("repo", "n_symbols", "n_edges", "n_resolved", pct.alias("pct_resolved"), "n_docs")
+    return j.select("repo", "n_symbols", "n_edges", "n_resolved", pct.alias("pct_resolved"), "n_docs", "n_links")

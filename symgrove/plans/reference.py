@@ -14,7 +14,7 @@ from symgrove.operators import search as Q
 from symgrove.operators import stats as A
 from symgrove.operators import store as W
 from symgrove.operators.skew import hot_join
-from symgrove.plans.index import LINK_THRESHOLD
+from symgrove.plans.index import LINK_THRESHOLD, extract_files
 from symgrove.session import cut, table
 from symgrove.streaming.ingest import windowed_counts
 
@@ -72,14 +72,17 @@ def overview_top_referenced(spark, d):
 @query(
     """WITH s AS (SELECT repo, count(*) AS n_symbols FROM symbols GROUP BY 1),
 e AS (SELECT source_repo AS repo, count(*) AS n_edges, count(*) FILTER (target_id <> 0) AS n_resolved FROM edges WHERE source_repo IS NOT NULL GROUP BY 1),
-x AS (SELECT repo, count(*) AS n_docs FROM doc_nodes GROUP BY 1)
+x AS (SELECT repo, count(*) AS n_docs FROM doc_nodes GROUP BY 1),
+k AS (SELECT d.repo, count(*) AS n_links FROM doc_nodes d JOIN symbols s ON s.repo = d.repo AND s.name = d.title GROUP BY 1)
 SELECT repo, coalesce(n_symbols, 0) AS n_symbols, coalesce(n_edges, 0) AS n_edges, coalesce(n_resolved, 0) AS n_resolved,
-  CASE WHEN coalesce(n_edges, 0) > 0 THEN round(100.0 * n_resolved / n_edges, 6) ELSE 0.0 END AS pct_resolved, coalesce(n_docs, 0) AS n_docs
-FROM s FULL JOIN e USING (repo) FULL JOIN x USING (repo)"""
+  CASE WHEN coalesce(n_edges, 0) > 0 THEN round(100.0 * n_resolved / n_edges, 6) ELSE 0.0 END AS pct_resolved, coalesce(n_docs, 0) AS n_docs, coalesce(n_links, 0) AS n_links
+FROM s FULL JOIN e USING (repo) FULL JOIN x USING (repo) FULL JOIN k USING (repo)"""
 )
 def status_counts(spark, d):
-    """Counts and the share of resolved edges, per repo."""
-    return A.status(table(spark, d, "symbols"), table(spark, d, "edges"), table(spark, d, "doc_nodes"))
+    """Counts and the share of resolved edges, per repo; sections titled with a symbol's name stand for the links, as the tables hold none."""
+    s, docs = table(spark, d, "symbols"), table(spark, d, "doc_nodes")
+    links = docs.select("repo", F.col("title").alias("name")).join(s.select("repo", "name"), ["repo", "name"]).select("repo")
+    return A.status(s, table(spark, d, "edges"), docs, links)
 
 
 @query(f"SELECT id, kind, name, file_path, line_start FROM symbols WHERE name ILIKE '%{PATTERN}%' ORDER BY name, id LIMIT 20")
@@ -307,27 +310,71 @@ def anti_join(spark, d):
     return table(spark, d, "symbols").join(table(spark, d, "branches").select(F.col("symbol_id").alias("id")), "id", "left_anti").select("id", "name")
 
 
-@query("SELECT source_repo, coalesce(edge_target, substr(edge_type, strpos(edge_type, ':') + 1)) AS header, count(*) AS n FROM edges WHERE starts_with(edge_type, 'includes:') GROUP BY 1, 2")
+@query(
+    r"""SELECT repo, header, count(*) AS n FROM (SELECT source_repo AS repo, unnest(regexp_extract_all('#include <' || coalesce(edge_target, substr(edge_type, strpos(edge_type, ':') + 1)) || '>', '#include\s*[<"]([^>"]+)[>"]', 1)) AS header FROM edges WHERE starts_with(edge_type, 'includes:')) GROUP BY 1, 2"""
+)
 def includes(spark, d):
-    """Included headers per repo."""
+    """Headers per repo in the include directives of texts made from the stored include edges."""
     e = table(spark, d, "edges").filter(T.label_kind(F.col("edge_type")) == "includes")
-    return e.groupBy("source_repo", F.coalesce("edge_target", T.label_target(F.col("edge_type"))).alias("header")).agg(F.count(F.lit(1)).alias("n"))
+    text = F.concat(F.lit("#include <"), F.coalesce("edge_target", T.label_target(F.col("edge_type"))), F.lit(">"))
+    x = D.file_includes(e.select(F.col("source_repo").alias("repo"), F.lit("").alias("file_path"), text.alias("content")))
+    return x.groupBy("repo", "header").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LINES = r"""f AS (SELECT id, content, regexp_replace(content, '\r?\n\z', '') AS c FROM doc_nodes WHERE content IS NOT NULL),
+l AS (SELECT id, unnest(regexp_split_to_array(c, '\r?\n')) AS line, generate_subscripts(regexp_split_to_array(c, '\r?\n'), 1) AS pos FROM f WHERE content <> '')"""
 
 
 @query(
-    r"""WITH f AS (SELECT id, regexp_replace(content, '\r?\n\z', '') AS c, content FROM doc_nodes WHERE content IS NOT NULL),
-l AS (SELECT id, unnest(regexp_split_to_array(c, '\r?\n')) AS line, generate_subscripts(regexp_split_to_array(c, '\r?\n'), 1) AS pos FROM f WHERE content <> ''),
+    rf"""WITH {_LINES},
 h AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*###\s') THEN 3 WHEN regexp_matches(line, '^\s*##\s') THEN 2 WHEN regexp_matches(line, '^\s*#\s') THEN 1 END AS h FROM l),
 s AS (SELECT *, count(h) OVER (PARTITION BY id ORDER BY pos) AS seg FROM h),
-g AS (SELECT id, seg, max(h) AS h, bool_or(h IS NULL AND regexp_matches(line, '\S')) AS body, coalesce(max(CASE WHEN h >= 2 THEN trim(regexp_replace(line, '^\s*##+\s', '')) END), '') <> '' AS named FROM s GROUP BY 1, 2),
-n AS (SELECT *, lead(h) OVER (PARTITION BY id ORDER BY seg) AS next_h, coalesce(last_value(CASE WHEN h >= 2 THEN h END IGNORE NULLS) OVER (PARTITION BY id ORDER BY seg), 0) AS level FROM g),
-a AS (SELECT id, level FROM n WHERE (body OR named) AND coalesce(next_h, 0) <> 1 UNION ALL SELECT id, 1 FROM f)
-SELECT CAST(id AS VARCHAR) AS file_path, CAST(level AS INTEGER) AS level, count(*) AS n_sections FROM a GROUP BY 1, 2"""
+b AS (SELECT *, max(CASE WHEN h IS NULL AND line <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY id, seg ORDER BY pos) AS begun FROM s),
+g AS (SELECT id, seg, max(h) AS h, coalesce(string_agg(line || chr(10), '' ORDER BY pos) FILTER (h IS NULL AND begun = 1), '') AS content, bool_or(h IS NULL AND regexp_matches(line, '\S')) AS body,
+  max(CASE WHEN h = 1 THEN trim(regexp_replace(line, '^\s*#\s', '')) END) AS h1, coalesce(max(CASE WHEN h >= 2 THEN trim(regexp_replace(line, '^\s*##+\s', '')) END), '') AS section_path FROM b GROUP BY 1, 2),
+n AS (SELECT *, lead(h) OVER (PARTITION BY id ORDER BY seg) AS next_h, coalesce(last_value(CASE WHEN h >= 2 THEN h END IGNORE NULLS) OVER (PARTITION BY id ORDER BY seg), 0) AS level,
+  coalesce(last_value(h1 IGNORE NULLS) OVER (PARTITION BY id ORDER BY seg), CAST(id AS VARCHAR)) AS title, coalesce(last_value(h1 IGNORE NULLS) OVER (PARTITION BY id ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), CAST(id AS VARCHAR)) AS last_title FROM g),
+a AS (SELECT id, title, section_path, level, content FROM n WHERE (body OR section_path <> '') AND coalesce(next_h, 0) <> 1 UNION ALL SELECT f.id, coalesce(max(last_title), CAST(f.id AS VARCHAR)), '', 1, f.content FROM f LEFT JOIN n ON n.id = f.id GROUP BY f.id, f.content)
+SELECT CAST(id AS VARCHAR) AS file_path, title, section_path, CAST(level AS INTEGER) AS level, sha256(content) AS content_hash FROM a"""
 )
 def doc_sections(spark, d):
-    """Number of sections of each level in every stored text, read as Markdown."""
+    """Sections of every stored text, read as Markdown: title, section, level and hash of the content."""
     x = table(spark, d, "doc_nodes").select("repo", F.col("id").cast("string").alias("file_path"), "content")
-    return D.doc_sections(x).groupBy("file_path", "level").agg(F.count(F.lit(1)).alias("n_sections"))
+    return D.doc_sections(x).select("file_path", "title", "section_path", "level", F.sha2("content", 256).alias("content_hash"))
+
+
+_CPP = r"""regexp_matches(file_path, '[^/]\.(cpp|cc|cxx|hpp|hxx|c|h)$')"""
+
+
+def _extracted(spark, d):
+    """Symbols and edges of every C++ definition, each read as a file of its own."""
+    s = table(spark, d, "symbols").select("repo", F.col("id").cast("string").alias("file_path"), F.col("definition").alias("content"), T.language_of(F.col("file_path")).alias("language")).filter("language = 'cpp'")
+    return extract_files(s)
+
+
+@query(f"SELECT id, name FROM symbols WHERE {_CPP} AND kind IN ('function', 'method', 'class', 'struct', 'enum')")
+def extracted_symbols(spark, d):
+    """Functions, classes and enums that the extractor finds in C++ definitions: the stored names."""
+    x = _extracted(spark, d).select(F.col("file_path").cast("long").alias("id"), F.explode("symbols").alias("s")).select("id", "s.name", "s.kind")
+    stored = table(spark, d, "symbols").select("id", F.col("kind").alias("stored"))
+    outer = F.col("stored").isin("function", "method") & F.col("kind").isin("function", "method") | (F.col("stored") == F.col("kind")) & F.col("kind").isin("class", "struct", "enum")
+    return x.join(stored, "id").filter(outer).select("id", "name")
+
+
+@query(f"SELECT DISTINCT source_id, edge_type FROM edges e JOIN symbols s ON s.id = e.source_id WHERE {_CPP} AND kind IN ('function', 'method') AND split_part(edge_type, ':', 1) IN ('calls', 'returns', 'param_type')")
+def extracted_edges(spark, d):
+    """Stored calls, return and parameter types of C++ functions that the extractor finds in their definitions."""
+    x = _extracted(spark, d).select(F.col("file_path").cast("long").alias("source_id"), F.explode("edges").alias("e")).select("source_id", F.concat_ws(":", "e.edge_kind", "e.edge_target").alias("edge_type")).distinct()
+    of = table(spark, d, "symbols").filter(F.col("kind").isin("function", "method")).select(F.col("id").alias("source_id"))
+    stored = table(spark, d, "edges").filter(T.label_kind(F.col("edge_type")).isin("calls", "returns", "param_type")).select("source_id", "edge_type")
+    return x.join(stored, ["source_id", "edge_type"], "left_semi").join(of, "source_id", "left_semi")
+
+
+@query(rf"SELECT id, regexp_extract(definition, '(?m)^(?:class|struct)\s+\w+\s*:\s*(?:public\s+|private\s+|protected\s+)?([\w:]+)\s*\{{', 1) AS base FROM symbols WHERE {_CPP} AND kind IN ('class', 'struct') AND regexp_matches(definition, '(?m)^(?:class|struct)\s+\w+\s*:[^:{{]')")
+def extracted_bases(spark, d):
+    """Bases that the extractor finds in C++ classes."""
+    x = _extracted(spark, d).select(F.col("file_path").cast("long").alias("id"), F.explode("edges").alias("e")).filter("e.edge_kind = 'inherits'")
+    return x.select("id", F.col("e.edge_target").alias("base"))
 
 
 @query("SELECT id, sha256(name || ' ' || coalesce(signature, '') || ' ' || coalesce(substr(definition, 1, 512), '')) AS text_hash FROM symbols")

@@ -163,7 +163,7 @@ def test_stats_and_search_on_empty_tables(spark):
     from symgrove.schemas import empty
 
     s, e, d = (empty(spark, t) for t in ("symbols", "edges", "doc_nodes"))
-    assert A.status(s, e, d).count() == 0 and A.kind_histogram(s).count() == 0 and A.edge_type_rollup(e).count() == 0 and A.top_referenced(e, s).count() == 0
+    assert A.status(s, e, d, empty(spark, "doc_code_links")).count() == 0 and A.kind_histogram(s).count() == 0 and A.edge_type_rollup(e).count() == 0 and A.top_referenced(e, s).count() == 0
     assert Q.semantic_search(d, s, "anything here").count() == 0 and Q.get_definition(s, "x").count() == 0 and Q.full_text(s, "x").count() == 0
 
 
@@ -263,15 +263,15 @@ def test_call_graph_of_many_symbols_of_one_name(spark):
         frames = {
             "symbols": spark.createDataFrame([(i, "r", "dup") for i in range(1, 71)] + [(i, "r", f"by{i}") for i in range(101, 171)], "id long, repo string, name string"),
             "branches": spark.createDataFrame([], "symbol_id long, repo string, branch_name string"),
-            "edges": spark.createDataFrame([(100 + i, i, "calls:dup", "calls") for i in range(1, 71)], "source_id long, target_id long, edge_type string, edge_kind string"),
+            "edges": spark.createDataFrame([(i, 100 + i, i, "calls:dup", "calls") for i in range(1, 71)], "id long, source_id long, target_id long, edge_type string, edge_kind string"),
         }
 
-        def read(self, name):
+        def read(self, name, repo=None):
             return self.frames[name]
 
     Frames.spark = spark
     got = api.get_call_graph(Frames(), "dup", "r")
-    assert all(f"dup (#{i})" in got and f"by{100 + i} (#" in got for i in range(1, 71))
+    assert all(f"● dup (id={i})" in got and f"↳ by{100 + i} (calls:dup)" in got for i in range(1, 71))
 
 
 def test_scan_without_git(spark, tmp_path):
@@ -294,3 +294,56 @@ def test_stream(spark, tmp_path):
 def test_tokens_are_null_safe(spark):
     df = spark.createDataFrame([(None,), ("",)], "t string")
     assert [r[0] for r in df.select(F.size(tokens(F.col("t")))).collect()] == [0, 0]
+
+
+def test_configuration(tmp_path):
+    from symgrove.config import Config, Project, Repo
+
+    path = tmp_path / "c.json"
+    assert Config.load(str(path)) == Config()
+    path.write_text('{"projects": {"p": {"repos": {"r": {"root": "/x", "languages": ["cpp"]}, "q": {"root": "/y"}}, "link_threshold": 0.1}, "e": null}}')
+    assert Config.load(str(path)).projects == {"p": Project({"r": Repo("/x", ["cpp"]), "q": Repo("/y")}, None, 0.1), "e": Project()}
+    with pytest.raises(ValueError):
+        Config.of({"projects": {"p": {"thresh": 1}}})
+
+
+def test_embedders(spark):
+    from symgrove.functions.embedders import NullEmbedder, TokenEmbedder, VectorEmbedder
+
+    df = spark.createDataFrame([("read the file", "file read twice")], "a string, b string")
+    for e, want in ((TokenEmbedder(), 2 / 3), (VectorEmbedder(lambda c: F.array(F.length(c).cast("float"), F.lit(0.0)), 2), 1.0), (NullEmbedder(), 0.0)):
+        assert df.select(e.similarity(e.embed(F.col("a")), e.embed(F.col("b"))).alias("s")).first().s == pytest.approx(want)
+
+
+def test_http():
+    import threading
+    import urllib.request
+
+    server = api.http_server(None)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_address[1]}/"
+
+    def post(body):
+        with urllib.request.urlopen(urllib.request.Request(url, data=body, method="POST")) as r:
+            return json.loads(r.read())
+
+    try:
+        got = post(b'{"id": 1, "method": "tools/list"}')["result"]["tools"]
+        assert len(got) == 11 and got[2]["inputSchema"]["required"] == ["pattern"] and got[4]["inputSchema"]["properties"]["max_depth"]["default"] == 3
+        assert post(b"{")["error"]["code"] == -32700 and post(b'{"id": 1, "method": "x"}')["error"]["code"] == -32601
+    finally:
+        server.shutdown()
+
+
+def test_store_replaces_one_repository(spark, tmp_path):
+    store = W.Store(spark, str(tmp_path / "s"))
+    rows = lambda *x: spark.createDataFrame([(i, r, b, None, None) for i, r, b in x], store.read("branches").schema)
+    store.write("branches", rows((1, "r", "m"), (2, "q", "m"), (3, None, "m")))
+    held = store.read("branches")
+    assert store.read("branches", "r").count() == 1 and store.read("branches", "").count() == 1
+    assert store.replace("branches", "r", rows((1, "r", "m"), (4, "r", "d"))) == 2
+    store.replace("branches", "", delete_rows := W.delete_branch(store.read("branches", ""), "m", "r"))
+    assert delete_rows.columns and sorted(r.symbol_id for r in store.read("branches").collect()) == [1, 2, 4]
+    assert held.count() == 3  # a reader of the old state is not disturbed
+    assert sorted(r.symbol_id for r in store.copy_to(str(tmp_path / "t")).read("branches").collect()) == [1, 2, 4]
+    assert W.Store(spark, str(tmp_path / "none")).read("symbols", "r").count() == 0
