@@ -15,22 +15,27 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgrove.llm.lexing import clean_comment, family, is_code, name_words, running_text, units
-
-_C_LIKE = regex.compile(
-    r"""
-    (?(DEFINE)
-      (?P<str> R"\((?:[^)]|\)(?!"))*+\)" | "(?:\\.|[^"\\\n])*+" | '(?:\\.|[^'\\\n])*+' | `(?:\\.|[^`\\])*+` )
-      (?P<com> //[^\n]*+ | /\*(?:[^*]|\*(?!/))*+\*/ )
-      (?P<par> \( (?: [^()"'`/R]++ | (?&str) | (?&com) | (?&par) | [/R"'`] )*+ \) )
-      (?P<brace> \{ (?: [^{}"'`/R]++ | (?&str) | (?&com) | (?&brace) | [/R"'`] )*+ \} )
+from symgrove.llm.lexing import RULES, clean_comment, family, is_code, name_words, running_text, units
+
+def _recursive(fam: str) -> regex.Pattern:
+    """Comments, signature and balanced body of a function, with the family's own comments and strings consumed as such."""
+    rule = RULES[fam]
+    skip = " | ".join(f"(?&{k})" for k in ("com", "str", "skip") if k in rule)
+    return regex.compile(
+        rf"""
+        (?(DEFINE) {" ".join(f"(?P<{k}> {v} )" for k, v in rule.items())}
+          (?P<par> \( (?: (?: [^()"'`/\w]++ | [A-Za-z_]\w*+(?!["'`]) )++ | {skip} | (?&par) | \w++ | ["'`/] )*+ \) )
+          (?P<brace> \{{ (?: (?: [^{{}}"'`/\w]++ | [A-Za-z_]\w*+(?!["'`]) )++ | {skip} | (?&brace) | \w++ | ["'`/] )*+ \}} )
+        )
+        (?P<lead> (?: \s*+ (?&com) )*+ \s*+ )
+        (?P<sig> (?: [^{{}};()"'`/]++ | (?&com) | (?&par) | (?&str) | / )*+ )
+        (?P<body> (?&brace) | ; )
+        """,
+        regex.X,
     )
-    (?P<lead> (?: \s*+ (?&com) )*+ \s*+ )
-    (?P<sig> (?: [^{};()"'`/]++ | (?&com) | (?&par) | (?&str) | / )*+ )
-    (?P<body> (?&brace) | ; )
-    """,
-    regex.X | regex.S,
-)
+
+
+_C_LIKE = {fam: _recursive(fam) for fam in RULES if fam != "python"}
 _PYTHON = regex.compile(
     r"""
     (?(DEFINE)
@@ -83,7 +88,7 @@ def _own_comment(fam: str, lead: str, sig: str) -> str | None:
 def capture(code: str, fam: str) -> tuple[str | None, str, str] | None:
     """(documentation comment, signature, code without it) of a function's source; None if it is no function.
 
-    Source whose brackets do not match (cut off) gives what stands before its first brace.
+    Source whose brackets do not match (cut off) keeps all of its code; its signature ends at the first brace.
     """
     code = code.replace("\r\n", "\n").replace("\r", "\n")
     if fam == "python":
@@ -93,12 +98,14 @@ def capture(code: str, fam: str) -> tuple[str | None, str, str] | None:
         doc = m["doc"]
         body = m["body"] if doc is None else m["body"].replace(doc, "", 1)
         return (doc and re.sub(r"^[rRuU]?(?:\"\"\"|'''|[\"'])|(?:\"\"\"|'''|[\"'])$", "", doc), m["sig"].strip(), m["sig"] + body)
-    m = _C_LIKE.match(code)
+    m = _C_LIKE[fam].match(code)
     if m:
         lead, sig, body = m["lead"], m["sig"], m["body"]
     else:
         lead = _LEAD_ONLY.match(code)[0]
-        sig, _, body = code[len(lead) :].partition("{")
+        rest = code[len(lead) :]
+        sig = rest.partition("{")[0]
+        body = rest[len(sig) :]
     doc = _own_comment(fam, lead, sig)
     return doc and clean_comment(doc), _COMMENT.sub("", sig).strip(), (sig + body).strip()
 

@@ -17,7 +17,7 @@ KEPT_WORDS = 100_000
 
 #: The labelled sample.
 SAMPLE = {
-    "en": """This function reads the whole file and returns the number of lines that were found. If the value is missing, an error is raised and nothing will be changed.
+    "en": """The code was generated by a tool and will be generated by it again. This function reads the whole file and returns the number of lines that were found. If the value is missing, an error is raised and nothing will be changed.
 You should not call this more than once, because the lock is held by another thread. We use a small table here so that the lookup stays fast on large inputs.
 The caller owns the memory and must free it when it is no longer needed. All names are sorted before they are written to the output. It takes two passes over the list to find which of them have changed since the last run.
 Please try again later, or contact the administrator of your system. Could not connect to the server while opening a new session. There are no more items left to show. Use the default settings unless you know what you are doing.
@@ -49,6 +49,17 @@ Los dos valores deben ir a la par. ¿Qué pasa cuando varios usuarios escriben a
 呼び出し側はメモリを所有し、不要になったら解放しなければなりません。すべての名前は出力に書き込む前に並べ替えられます。後でもう一度お試しいただくか、システムの管理者にお問い合わせください。サーバーに接続できませんでした。表示する項目はもうありません。各項目には独自のキーがあり、他に影響を与えずに削除できます。詳しくは手引きをご覧ください。無断転載を禁じます。手で編集しないでください。ページが見つかりません、移動された可能性があります。何度も試しましたが読み込めません。サービスは現在使用中です。利用者がその項目にアクセスできるかを確認し、できなければすぐに失敗します。結果を末尾に追加して返す。順序はどの場合でも保たれます。以前の版では遅かった。既定の上限は二番目の場合だけに適用され、最初には影響しない。""",
 }
 
+#: Samples of neighbours of these languages, which a text is compared with before it is given to one of them.
+OTHERS = {
+    "it": """Questa funzione legge tutto il file e restituisce il numero di righe trovate. Se il valore manca, viene generato un errore e nulla sarà modificato. Non bisogna chiamarla più di una volta, perché il blocco è tenuto da un altro processo. Qui usiamo una piccola tabella, così la ricerca resta veloce anche con dati molto grandi. Il chiamante possiede la memoria e deve liberarla quando non serve più. Tutti i nomi vengono ordinati prima di essere scritti. Si prega di riprovare più tardi o di contattare l'amministratore del sistema. Impossibile connettersi al server durante l'apertura della sessione. Non ci sono altri elementi da mostrare. Ogni voce ha la propria chiave e può essere rimossa senza effetti sulle altre. Gli utenti che scrivono nello stesso momento devono aspettare la fine della prima scrittura. Questi dati sono stati generati dalla macchina e non vanno cambiati a mano.""",
+    "nl": """Deze functie leest het hele bestand en geeft het aantal gevonden regels terug. Als de waarde ontbreekt, wordt er een fout gemeld en verandert er niets. Je mag haar niet vaker dan één keer aanroepen, omdat de vergrendeling door een andere draad wordt vastgehouden. We gebruiken hier een kleine tabel, zodat het zoeken ook bij grote invoer snel blijft. De aanroeper bezit het geheugen en moet het vrijgeven zodra het niet meer nodig is. Alle namen worden gesorteerd voordat ze naar de uitvoer worden geschreven. Probeer het later opnieuw of neem contact op met de beheerder van het systeem. Er kon geen verbinding met de server worden gemaakt. Er zijn geen andere onderdelen meer om te tonen. Elk item heeft zijn eigen sleutel en kan zonder gevolgen voor de andere worden verwijderd. Deze gegevens zijn door een machine gemaakt en mogen niet met de hand worden gewijzigd. Het is niet mogelijk om dit nu te doen.""",
+    "pt": """Esta função lê o arquivo inteiro e devolve o número de linhas encontradas. Se o valor não existir, ocorre um erro e nada será alterado. Ela não deve ser chamada mais de uma vez, porque o bloqueio está com outra linha de execução. Aqui usamos uma tabela pequena, para que a busca continue rápida com entradas grandes. Quem chama é dono da memória e tem de a libertar quando já não for necessária. Todos os nomes são ordenados antes de serem escritos na saída. Por favor, tente novamente mais tarde ou fale com o administrador do sistema. Não foi possível ligar ao servidor ao abrir a sessão. Não há mais itens para mostrar. Cada entrada tem a sua própria chave e pode ser removida sem efeito nas outras. Os usuários que escrevem ao mesmo tempo têm que esperar até a primeira escrita acabar. Estes dados foram gerados pela máquina e não devem ser mudados à mão.""",
+    "pl": """Ta funkcja czyta cały plik i zwraca liczbę znalezionych wierszy. Jeśli brakuje wartości, zgłaszany jest błąd i nic się nie zmienia. Nie należy jej wywoływać więcej niż raz, ponieważ blokadę trzyma inny wątek. Używamy tu małej tabeli, żeby wyszukiwanie było szybkie także przy dużych danych. Wszystkie nazwy są sortowane przed zapisem. Proszę spróbować później albo skontaktować się z administratorem. Nie można połączyć się z serwerem. Każdy wpis ma własny klucz i może zostać usunięty bez wpływu na pozostałe.""",
+    "uk": """Ця функція читає весь файл і повертає кількість знайдених рядків. Якщо значення відсутнє, виникає помилка і нічого не змінюється. Її не слід викликати більше одного разу, тому що блокування тримає інший потік. Тут ми використовуємо невелику таблицю, щоб пошук залишався швидким. Усі імена сортуються перед записом. Будь ласка, спробуйте пізніше або зверніться до адміністратора. Кожен запис має власний ключ і може бути вилучений без впливу на інші.""",
+}
+#: A text goes to none of LANGUAGES if one of OTHERS is likelier by this much a letter, and by MARGIN in all; or if this share of its letters stands in no sample.
+PER_LETTER, MARGIN, STRANGE = 0.2, 6.0, 0.5
+
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _WIDE = re.compile(r"[ぁ-ヿ㐀-䶿一-鿿]")
 
@@ -81,20 +92,27 @@ class NaiveBayes:
             self.words[w] = v
         return v
 
-    def classify(self, text: str) -> str | None:
-        """Most likely class; None for a text without letters; on a tie the first class."""
+    def scores(self, text: str) -> dict[str, float] | None:
+        """Logarithm of the likelihood by class; None for a text without letters."""
         words = [x for w in _TOKEN.findall(text.lower()) for x in (list(w[i : i + 2] for i in range(0, len(w), 2)) if _WIDE.search(w) else [w])]
-        if not words:
-            return None
-        scores = [sum(v) for v in zip(*map(self._word, words))]
-        return self.classes[scores.index(max(scores))]
+        return dict(zip(self.classes, (sum(v) for v in zip(*map(self._word, words))))) if words else None
+
+    def known(self, text: str) -> float:
+        """Share of the letters that stand in some sample."""
+        letters = [c for c in text.lower() if c.isalpha()]
+        return sum(c in self.weight or bool(_WIDE.match(c)) for c in letters) / max(1, len(letters))
 
 
 _model: list[NaiveBayes] = []
 
 
 def language(text: str) -> str | None:
-    """Language of a text, one of LANGUAGES."""
+    """Language of a text, one of LANGUAGES; on a tie the first. None without letters, in other scripts, and for a text that is clearly of a neighbouring language."""
     if not _model:
-        _model.append(NaiveBayes(SAMPLE))
-    return _model[0].classify(text)
+        _model.append(NaiveBayes(SAMPLE | OTHERS))
+    score = _model[0].scores(text)
+    if score is None or not text.isascii() and _model[0].known(text) < STRANGE:
+        return None
+    own, other = max(LANGUAGES, key=score.__getitem__), max(OTHERS, key=score.__getitem__)
+    lead = score[other] - score[own]
+    return None if lead > max(MARGIN, PER_LETTER * len(text)) else own

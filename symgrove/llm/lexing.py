@@ -4,13 +4,41 @@ from __future__ import annotations
 
 import re
 
+import regex
+
 #: File suffixes of each family.
 C_LIKE = {"c", "h", "cc", "cpp", "cxx", "hpp", "hxx", "inl"}
 SUFFIXES = {**dict.fromkeys(C_LIKE, "cpp"), "java": "java", "go": "go", "py": "python", "pyi": "python", "ts": "script", "tsx": "script", "js": "script", "jsx": "script", "mjs": "script", "cjs": "script"}
 NAMES = {"cpp": "cpp", "c++": "cpp", "c": "cpp", "cxx": "cpp", "java": "java", "go": "go", "golang": "go", "python": "python", "py": "python", "python3": "python", "typescript": "script", "ts": "script", "javascript": "script", "js": "script", "tsx": "script"}
 
-_C = re.compile(r'(?P<c>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<s>R"\((?:.*?)\)"|"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`|\'(?:\\.|[^\'\\\n])*\')', re.S)
-_PY = re.compile(r'(?P<c>\#[^\n]*)|(?P<s>[rRbBuUfF]{0,2}(?:"""(?:\\.|.)*?"""|\'\'\'(?:\\.|.)*?\'\'\'|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'))', re.S)
+#: Where a slash begins a pattern rather than a division.
+REGEX_PLACE = r"(?<=[(,=:\[!&|?{};+*%<>~^\n][ \t]*|\b(?:return|case|typeof|in|of)[ \t]+|\A[ \t]*)"
+#: Lexical rules of each family, as parts of a ``regex`` pattern: comment, string, and what is neither but may hold quotes.
+RULES: dict[str, dict[str, str]] = {
+    "cpp": {
+        "com": r"//(?:\\\n|[^\n])*+ | /\*(?s:.*?)(?:\*/|\Z)",
+        "str": r"(?:u8|[uUL])?R\"(?P<delim>[^\s()\\\"]{0,16})\((?s:.*?)\)(?P=delim)\" | \"(?:\\(?s:.)|[^\"\\\n])*+\" | '(?:\\(?s:.)|[^'\\\n])++'",
+        "skip": r"(?<!\w)\d(?:'(?=\w)|[\w.])*+",
+    },
+    "java": {
+        "com": r"//[^\n]*+ | /\*(?s:.*?)(?:\*/|\Z)",
+        "str": r"\"\"\"[ \t]*\n(?:\\(?s:.)|(?!\"\"\")(?s:.))*+\"\"\" | \"(?:\\(?s:.)|[^\"\\\n])*+\" | '(?:\\(?s:.)|[^'\\\n])++'",
+    },
+    "go": {
+        "com": r"//[^\n]*+ | /\*(?s:.*?)(?:\*/|\Z)",
+        "str": r"`[^`]*+` | \"(?:\\(?s:.)|[^\"\\\n])*+\" | '(?:\\(?s:.)|[^'\\\n])++'",
+    },
+    "python": {
+        "com": r"\#[^\n]*+",
+        "str": r"(?<!\w)[rRbBuUfFtT]{0,2}(?: \"\"\"(?:\\(?s:.)|(?!\"\"\")(?s:.))*+\"\"\" | \'\'\'(?:\\(?s:.)|(?!\'\'\')(?s:.))*+\'\'\' | \"(?:\\(?s:.)|[^\"\\\n])*+\" | '(?:\\(?s:.)|[^'\\\n])*+' )",
+    },
+    "script": {
+        "com": r"//[^\n]*+ | /\*(?s:.*?)(?:\*/|\Z)",
+        "str": r"(?P<tpl> `(?: \\(?s:.) | \$(?P<hole> \{(?: [^{}`\"']++ | (?&tpl) | \"(?:\\(?s:.)|[^\"\\\n])*+\" | '(?:\\(?s:.)|[^'\\\n])*+' | (?&hole) )*+\} ) | \$(?!\{) | [^`\\$] )*+` ) | \"(?:\\(?s:.)|[^\"\\\n])*+\" | '(?:\\(?s:.)|[^'\\\n])*+'",
+        "skip": REGEX_PLACE + r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\[\n])++/[a-z]*+",
+    },
+}
+_LEXERS = {fam: regex.compile(rf"(?P<c> {r['com']} ) | (?P<s> {r['str']} )" + (rf" | (?: {r['skip']} )" if "skip" in r else ""), regex.X) for fam, r in RULES.items()}
 _LINE = re.compile(r"^[ \t]*(?:///?!?<?|//!<?|/\*+[*!]?<?|\*+/|\*(?!\*)|\#+!?)?[ \t]?")
 _END = re.compile(r"[ \t]*\*+/[ \t]*$")
 
@@ -26,15 +54,17 @@ def clean_comment(text: str) -> str:
     return "\n".join(_END.sub("", _LINE.sub("", x, count=1)).strip() for x in text.split("\n")).strip()
 
 
-def string_text(literal: str) -> str:
-    """Content of a string literal; line and quote escapes are resolved."""
-    body = literal.lstrip("rRbBuUfF") if literal[:1] in "rRbBuUfF" else literal
-    if literal.startswith('R"('):
-        return literal[3:-2]
-    for q in ('"""', "'''"):
-        if body.startswith(q):
-            return body[3:-3]
-    return unescape(body[1:-1])
+def string_text(literal: str, fam: str) -> str:
+    """Content of a string literal; escapes are resolved where the kind of literal has them."""
+    head = regex.match(r"\w*", literal)[0].lower()
+    body = literal[len(head) :]
+    if fam == "cpp" and head.endswith("r"):
+        return body[body.index("(") + 1 : body.rindex(")")]
+    quote = body[:3] if body[:3] in ('"""', "'''") and len(body) >= 6 else body[:1]
+    body = body[len(quote) : -len(quote)]
+    if fam == "go" and quote == "`" or fam == "python" and "r" in head:
+        return body
+    return unescape(body)
 
 
 def unescape(s: str) -> str:
@@ -58,10 +88,12 @@ def pieces(code: str, fam: str) -> list[tuple[str, int, int, str]]:
     so are string literals with nothing but white space or a plus sign between them.
     """
     out: list[tuple[str, int, int, str]] = []
-    for m in (_PY if fam == "python" else _C).finditer(code):
-        kind = "comment" if m.lastgroup == "c" else "string"
+    for m in _LEXERS[fam].finditer(code):
+        if m["c"] is None and m["s"] is None:
+            continue
+        kind = "comment" if m["s"] is None else "string"
         raw, s, e = m[0], m.start(), m.end()
-        text = clean_comment(raw) if kind == "comment" else string_text(raw)
+        text = clean_comment(raw) if kind == "comment" else string_text(raw, fam)
         if out and out[-1][0] == kind:
             between = code[out[-1][2] : s]
             if between.strip() in (("", "+", "\\", "..") if kind == "string" else ("",)):

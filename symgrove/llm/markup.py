@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
+from collections import Counter
 from html.entities import html5
 
 import pyarrow as pa
@@ -265,14 +266,14 @@ def _lines(text: str, marks: Marks, out: list[Block]) -> None:
 class Node:
     """Element of the tree; parts are texts (with whether they are link text) and elements, in order."""
 
-    def __init__(self, tag: str, parent: Node | None = None):
-        self.tag, self.parent, self.parts, self.score = tag, parent, [], 0.0
+    __slots__ = ("tag", "parent", "parts", "score", "total", "linked")
 
-    def size(self, links: bool = False) -> int:
-        return sum((len(p[0]) if p[1] or not links else 0) if isinstance(p, tuple) else p.size(links) for p in self.parts)
+    def __init__(self, tag: str, parent: Node | None = None):
+        self.tag, self.parent, self.parts, self.score, self.total, self.linked = tag, parent, [], 0.0, 0, 0
 
     def density(self) -> float:
-        return self.size(True) / max(1, self.size())
+        """Share of the text below that is links."""
+        return self.linked / max(1, self.total)
 
 
 def _counts(text: str, m: re.Match, closed: set[str]) -> bool:
@@ -285,14 +286,14 @@ def _counts(text: str, m: re.Match, closed: set[str]) -> bool:
     if m[3].strip():
         return False
     if name in WORDS and name not in ("center", "font"):
-        return name in closed and not (m.start() and text[m.start() - 1] in "#:" or re.search(r"#include\s*$", text[: m.start()]))
+        return name in closed and not (m.start() and text[m.start() - 1] in "#:" or re.search(r"#include\s*$", text[max(0, m.start() - 40) : m.start()]))
     if len(name) == 1 and not m[1] and m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "_:"):
         return name in closed
     return True
 
 
-def _tree(text: str, marks: Marks) -> Node:
-    """Element tree of a text; what stands in code fences and inline code is no tag."""
+def _tree(text: str, marks: Marks) -> list[Node]:
+    """Elements of a text, parents before children, the root first; what stands in code fences and inline code is no tag."""
     if "<" in text:
         code = [m.span() for m in _CODE_SPAN.finditer(text)]
 
@@ -312,8 +313,8 @@ def _tree(text: str, marks: Marks) -> Node:
         in_code = bool
     closed = {m[2].lower() for m in _TAG.finditer(text) if m[1]} & {m[2].lower() for m in _TAG.finditer(text) if not m[1]}
     tags = [m for m in _TAG.finditer(text) if _counts(text, m, closed) and not in_code(m.start())]
-    root = Node("root")
-    cur, at, link, pre, hidden = root, 0, 0, 0, 0
+    cur, at, link, pre, hidden = Node("root"), 0, 0, 0, 0
+    nodes, open_ = [cur], Counter()
     for m in tags:
         marks.hit("html")
         piece = text[at : m.start()]
@@ -334,28 +335,36 @@ def _tree(text: str, marks: Marks) -> Node:
             if name == "pre":
                 pre = max(0, pre + (-1 if closing else 1))
             if closing:
-                up = cur
-                while up.parent and up.tag != name:
-                    up = up.parent
-                if up.parent:
-                    cur = up.parent
+                while open_[name]:  # what is still open inside it is closed too
+                    open_[cur.tag] -= 1
+                    closed_tag, cur = cur.tag, cur.parent
+                    if closed_tag == name:
+                        break
             else:
                 if name in ("li", "p", "tr") and cur.tag == name:
+                    open_[name] -= 1
                     cur = cur.parent
                 node = Node(name, cur)
                 cur.parts.append(node)
+                nodes.append(node)
+                open_[name] += 1
                 cur = node
     if not hidden:
         cur.parts.append((text[at:], bool(link), bool(pre)))
-    return root
+    for n in reversed(nodes):
+        for p in n.parts:
+            if isinstance(p, tuple):
+                n.total += len(p[0])
+                n.linked += len(p[0]) if p[1] else 0
+        if n.parent:
+            n.parent.total += n.total
+            n.parent.linked += n.linked
+    return nodes
 
 
-def _score(root: Node) -> set[int]:
+def _score(nodes: list[Node]) -> set[int]:
     """Elements (by id) to leave out: outside the best container and its siblings."""
-    all_: list[Node] = []
-
-    def paragraphs(n: Node) -> None:
-        all_.append(n)
+    for n in nodes:
         own = "".join(p[0] for p in n.parts if isinstance(p, tuple))
         if len(own.strip()) >= 25:
             points = 1 + len(re.findall(r"[,，、،;；]", own)) + min(len(own) / 100, 3)
@@ -364,14 +373,9 @@ def _score(root: Node) -> set[int]:
                 n.parent.score += points
                 if n.parent.parent:
                     n.parent.parent.score += points / 2
-        for p in n.parts:
-            if isinstance(p, Node):
-                paragraphs(p)
-
-    paragraphs(root)
-    for n in all_:
+    for n in nodes:
         n.score *= 1 - n.density()
-    best = max(all_, key=lambda n: n.score)
+    best = max(nodes, key=lambda n: n.score)
     if best.score <= 0:
         return set()
     drop: set[int] = set()
@@ -384,37 +388,46 @@ def _score(root: Node) -> set[int]:
                     drop.add(id(sib))
         n = n.parent
     for p in best.parts:  # link lists inside the container
-        if isinstance(p, Node) and p.tag in ("ul", "ol", "nav", "div") and p.density() > 0.8 and p.size() > 0 and p.score < 0.2 * best.score:
+        if isinstance(p, Node) and p.tag in ("ul", "ol", "nav", "div") and p.density() > 0.8 and p.total > 0 and p.score < 0.2 * best.score:
             drop.add(id(p))
     return drop
 
 
-def _render(n: Node, marks: Marks, drop: set[int], out: list[Block], depth: int = 0) -> None:
-    buf = ""
-
-    def flush():
-        nonlocal buf
-        if buf:
-            if n.tag == "pre":
-                out.append(("code", 0, _entities(buf, marks).strip("\n")))
-            elif n.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                out.append(("heading", int(n.tag[1]), inline(" ".join(buf.split()), marks)))
-            elif n.tag == "tr":
-                out.append(("table", 0, inline(buf.strip(), marks)))
-            elif n.tag in ("li", "dd", "dt"):
-                out.append(("item", depth, inline(" ".join(buf.split()), marks)))
-            else:
-                _lines(buf, marks, out)
-        buf = ""
+def _render(root: Node, marks: Marks, drop: set[int]) -> list[Block]:
+    """Blocks of a tree in order; elements of any depth, without recursion."""
+    out: list[Block] = []
 
-    for p in n.parts:
-        if isinstance(p, Node):
-            flush()
+    def flush(n: Node, buf: list[str], depth: int) -> None:
+        text = "".join(buf)
+        buf.clear()
+        if not text:
+            return
+        if n.tag == "pre":
+            out.append(("code", 0, _entities(text, marks).strip("\n")))
+        elif n.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            out.append(("heading", int(n.tag[1]), inline(" ".join(text.split()), marks)))
+        elif n.tag == "tr":
+            out.append(("table", 0, inline(text.strip(), marks)))
+        elif n.tag in ("li", "dd", "dt"):
+            out.append(("item", depth, inline(" ".join(text.split()), marks)))
+        else:
+            _lines(text, marks, out)
+
+    stack: list[tuple[Node, object, list[str], int]] = [(root, iter(root.parts), [], 0)]
+    while stack:
+        n, parts, buf, depth = stack[-1]
+        for p in parts:
+            if isinstance(p, tuple):
+                buf.append(p[0])
+                continue
+            flush(n, buf, depth)
             if id(p) not in drop:
-                _render(p, marks, drop, out, depth + (n.tag in ("ul", "ol") and p.tag in ("ul", "ol")))
+                stack.append((p, iter(p.parts), [], depth + (n.tag in ("ul", "ol") and p.tag in ("ul", "ol"))))
+                break
         else:
-            buf += p[0]
-    flush()
+            flush(n, buf, depth)
+            stack.pop()
+    return out
 
 
 def convert(text: str | None) -> tuple[str, list[Block], Marks]:
@@ -423,9 +436,8 @@ def convert(text: str | None) -> tuple[str, list[Block], Marks]:
     if not text:
         return "", [], marks
     text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\x00", "").replace("\x01", "")
-    root = _tree(text, marks)
-    out: list[Block] = []
-    _render(root, marks, _score(root), out)
+    nodes = _tree(text, marks)
+    out = _render(nodes[0], marks, _score(nodes))
     blocks = [b for b in out if b[0] == "gap" or b[2].strip()]
     lines: list[str] = []
     for kind, level, t in blocks:

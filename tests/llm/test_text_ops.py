@@ -165,3 +165,41 @@ def test_residue(spark):
     got = sorted((r.doc_id, r.label) for r in R.residue(d).collect())
     assert got == sorted([(i, k) for i, (_, k) in enumerate(RESIDUE)] + [(0, "error")])
     assert R.residue(d.limit(0)).count() == 0
+
+
+def strings(code, fam):
+    return [t for k, _, _, t in X.pieces(code, fam) if k == "string"], [t for k, _, _, t in X.pieces(code, fam) if k == "comment"]
+
+
+def test_lexers_know_their_language():
+    assert strings('auto s = R"x(say ")" and more)x"; int a = 1\'000\'000; char c = \'y\'; // end', "cpp") == (['say ")" and more', "y"], ["end"])
+    assert strings("x := `C:\\` // behind it\n", "go") == (["C:\\"], ["behind it"])
+    assert strings('String s = """\n  He said "go" now.\n  """; // c', "java") == (['\n  He said "go" now.\n  '], ["c"])
+    assert strings('const a = `x ${f(`in ${y} "q"`)} done`; let r = /[{"\\/]/g; // tail\nx = a / b / c; "str"', "script") == (['x ${f(`in ${y} "q"`)} done', "str"], ["tail"])
+    assert strings("x = r'a\\d' # no\n", "python") == (["a\\d"], ["no"])
+    assert strings('"open\nint x; /* never closed', "cpp") == ([], ["never closed"])
+
+
+def test_other_languages_are_rejected():
+    for text in ("Il file non è stato trovato nella cartella", "Het bestand kan niet worden gelezen", "O arquivo não pode ser lido agora", "파일을 찾을 수 없습니다 다시 시도하세요", "Δεν βρέθηκε το αρχείο", "Nie można otworzyć tego pliku"):
+        assert G.language(text) is None
+    for text, lang in (("read the file again", "en"), ("Die Datei wurde nicht gefunden", "de"), ("El archivo no puede leerse", "es"), ("le fichier est absent", "fr"), ("файл не найден снова", "ru"), ("找不到该文件请重试", "zh"), ("ファイルが見つかりません", "ja")):
+        assert G.language(text) == lang
+
+
+def test_bodies_with_brackets_in_strings_are_whole():
+    for code, fam in (
+        ('/** Says it. */\nString f() {\n  return """\n  a } "b" {\n  """;\n}', "java"),
+        ('/** Says it. */\nfunction f(a) { return /[{"]/.test(a) ? `x ${a ? `}` : "{"}` : 1 / 2; }', "script"),
+        ('/// Says it.\nint f() { auto s = R"x(} ")x"; return 1\'000; }', "cpp"),
+        ("// Says it.\nfunc f() { s := `{\\` }", "go"),
+        ("/// Says it.\nint f() { if (a) { b", "cpp"),
+    ):
+        doc, _, body = D.capture(code, fam)
+        assert doc == "Says it." and body == code.split("\n", 1)[1]
+
+
+def test_markup_of_any_depth():
+    text = "<div>" * 5000 + "deep text, long enough to be one paragraph of its own" + "</div>" * 5000
+    assert M.convert(text)[0] == "deep text, long enough to be one paragraph of its own"
+    assert M.convert("</p></div>" * 2000 + "<ul>" * 3000)[0] == ""
