@@ -2,11 +2,12 @@
 
 Labelled exemplars of residue stand in an inverted index, term by term. Every
 passage window of every document (up to three sentences of a line) retrieves exemplars
-by the terms they share; TF-IDF containment, with document frequencies of the
-whole corpus, says how much of the passage an exemplar, or the vocabulary of its
-label, accounts for. A document whose passages are residue for the most part, page
-furniture aside, is excluded, and so is one in whose running text a template
-variable stands unfilled.
+by the terms they share; TF-IDF containment, with the document frequencies of all
+terms over the whole corpus, says how much of the passage an exemplar, or the
+vocabulary of its label, accounts for. A document whose passages are residue for the
+most part, page furniture aside, is excluded. So is one in whose running text a
+template variable stands unfilled: there the passage is the slot itself, its names
+masked, and the exemplar it retrieves must be it whole.
 """
 
 from __future__ import annotations
@@ -19,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symgrove.operators.skew import hot_join
 from symgrove.session import cut
 
 #: Share of a passage's TF-IDF weight that one exemplar, or the vocabulary of one label, must hold; share of a text that must be residue.
 CONTAINMENT, VOCABULARY, COVERAGE = 0.7, 0.85, 0.5
-#: Weight of a term outside the index, against the mean of those in it.
-OUTSIDE = 0.6
 #: Share of a passage's terms that retrieves an exemplar before the weights are known.
 RETRIEVAL = 0.45
 
@@ -189,6 +189,13 @@ documentation portal
 © maintainers
 © All rights reserved. Powered by
 Search. Navigation. Share. Print. Download. Edit this page. Last updated""",
+    "template": """{{ name }} {{ NAME }} {{{name}}} {{{NAME}}} {% name %} {% NAME %} <%= name %> <%= NAME %> <% name %> ${name} ${NAME} #{name} #{NAME} @@name@@ @@NAME@@ %(name)s %(NAME)s %NAME% %%NAME%% __NAME__ {name} {NAME}
+<YOUR NAME> <INSERT NAME> <ENTER NAME> <ADD NAME> <TODO NAME> <your name> <insert name> <enter name> <YOUR NAME HERE> <INSERT NAME HERE> <ENTER NAME HERE> <ADD NAME HERE> <your name here> <insert name here> <enter name here> <INSERT YOUR NAME> <ENTER YOUR NAME> <insert your name> <enter your name>
+<NAME_PLACEHOLDER> <NAME_HERE> <NAME_GOES_HERE> <NAME_TBD> <PLACEHOLDER>
+[YOUR NAME] [INSERT NAME] [ENTER NAME] [ADD NAME] [FILL IN NAME] [your name] [insert name] [enter name] [fill in name] [YOUR NAME HERE] [INSERT NAME HERE] [ENTER NAME HERE] [ADD NAME HERE] [your name here] [insert name here] [enter name here] [INSERT YOUR NAME] [ENTER YOUR NAME] [insert your name] [enter your name] [fill in your name] [FILL IN YOUR NAME]
+[name goes here] [NAME GOES HERE] [name to be added] [NAME TO BE ADDED] [name to be filled in] [NAME TO BE FILLED IN] [name here] [NAME HERE] [object Object]
+[Ihr Name einfügen] [Name hier einfügen] [hier Name einfügen] [Ihr Name eintragen] [hier eintragen] [hier einfügen] [votre nom] [insérer nom] [insérer votre nom] [su nombre] [su nombre aquí] [inserte nombre] [inserte nombre aquí] [inserte su nombre] [inserte su nombre aquí] [insertar nombre] [insertar nombre aquí]
+【请填写名称】 【填写名称】 【请输入名称】 【输入名称】 【请插入名称】 【插入名称】 【请补充名称】 【补充名称】""",
 }
 
 _NUMBER = re.compile(r"\b(?:\d+|(?=[a-f]*\d)[0-9a-f]{6,})\b")
@@ -211,8 +218,33 @@ def terms(passage: str) -> set[str]:
     return out
 
 
+#: Signs around a template's slot, longest first.
+DELIMITERS = (("{{{", "}}}"), ("{{", "}}"), ("{%", "%}"), ("<%", "%>"), ("${", "}"), ("#{", "}"), ("@@", "@@"), ("%%", "%%"), ("%(", ")"), ("__", "__"), ("%", "%"), ("<", ">"), ("[", "]"), ("【", "】"), ("{", "}"))
+#: Words that stay in a masked slot of words.
+CUES = frozenset("your insert enter add todo placeholder here goes tbd fill in to be added filled object ihr hier einfügen eintragen votre insérer su inserte insertar aquí".split())
+_WIDE_CUE = re.compile(r"请?(填写|输入|插入|补充)")
+_BEFORE, _AFTER = {"{": r"(?<![A-Za-z0-9_$#%{\\\"'])", "__": r"(?<![A-Za-z0-9_.])"}, {"{": r"(?![A-Za-z0-9_}])", "__": r"(?![A-Za-z0-9_])", "%(": "[sdif]"}
+_BODY = {"{": r"[A-Za-z_]+", "__": r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*", "%": r"[A-Z][A-Z]*(?:_[A-Z]+)*", "%%": r"[A-Z_]+", "@@": r"[A-Za-z_]\w*", "%(": r"[A-Za-z_]\w*", "${": r"[^\W\d][\w.]*", "#{": r"[^\W\d][\w.]*", "【": "[^】]*", "<%": r"[=-]?\s*[\w.@\s]+-?", "{%": r"-?\s*[^\W\d][\w.\s]*-?", "<": r"[A-Za-z_ -]+", "[": r"[\w -]+"}
+_SLOT = re.compile("|".join(f"{_BEFORE.get(o, '')}(?:{re.escape(o)}{_BODY.get(o, r'[^\W\d][\w.\s|-]*') if o[:2] != '{{' else r'\s*[^\W\d][\w.\s|-]*'}{re.escape(c)}){_AFTER.get(o, '')}" for o, c in DELIMITERS))
+
+
+def masked(slot: str) -> str:
+    """A slot with its names masked: upper case as A, all else as a; cue words stay in slots of words."""
+    o, c = next(d for d in DELIMITERS if slot.startswith(d[0]))
+    body = slot[len(o) : -len(c) - (o == "%(")]
+    if o == "【":
+        m = _WIDE_CUE.match(body)
+        return f"【{m[1]}】" if m else "【】"
+    words = re.findall(r"[^\W_]+", body)
+    if o not in "<[":
+        return f"{o}{'A' if body.upper() == body else 'a'}{c}"
+    kept = [w.lower() if w.lower() in CUES else "A" if w.upper() == w else "a" for w in words]
+    return o + " ".join(k for i, k in enumerate(kept) if not i or k != kept[i - 1]) + c
+
+
 def _bank() -> list[tuple[str, frozenset[str]]]:
-    return [(label, frozenset(terms(line))) for label, lines in EXEMPLARS.items() for line in lines.split("\n")]
+    slots = [("template", frozenset([masked(m[0])])) for m in _SLOT.finditer(EXEMPLARS["template"])]
+    return [(label, frozenset(terms(line))) for label, lines in EXEMPLARS.items() if label != "template" for line in lines.split("\n")] + slots
 
 
 BANK = _bank()
@@ -220,15 +252,10 @@ INDEX: dict[str, list[int]] = {}
 for _i, (_label, _terms) in enumerate(BANK):
     for _t in _terms:
         INDEX.setdefault(_t, []).append(_i)
-LABELS = {label: frozenset().union(*(t for k, t in BANK if k == label)) for label in EXEMPLARS}
+LABELS = {label: frozenset().union(*(t for k, t in BANK if k == label)) for label in EXEMPLARS if label != "template"}
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 
-#: Shapes of template variables, and names that are no template's.
-_VARIABLE = re.compile(
-    r"\{\{\{?\s*[^\W\d][\w.\s|-]*\}?\}\}|\{%-?\s*[^\W\d][\w.\s]*-?%\}|<%[=-]?\s*[\w.@\s]+-?%>|\$\{[^\W\d][\w.]*\}|#\{[^\W\d][\w.]*\}|@@[A-Za-z_]\w*@@|%\([A-Za-z_]\w*\)[sdif]|%[A-Z][A-Z]*(?:_[A-Z]+)*%|%%[A-Z_]+%%|(?<![A-Za-z0-9_.])__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?![A-Za-z0-9_])"
-    r"|<(?:YOUR|INSERT|ENTER|ADD|TODO)[ _-][A-Z _-]+>|<(?:your|insert|enter)[ _-][a-z _-]+>|<[A-Z][A-Z_]*_(?:PLACEHOLDER|HERE|GOES_HERE|TBD)>|<PLACEHOLDER>|\[(?:YOUR|INSERT|ENTER|ADD|FILL IN)[ _][A-Z _]+\]|\[(?:[Yy]our|[Ii]nsert|[Ee]nter|[Ff]ill in) [\w -]+\]|\[[\w -]+ (?:goes here|to be (?:added|filled in)|here)\]|\[object Object\]|【请?(?:填写|输入|插入|补充)[^】]*】|\[(?:Ihr|Name hier|hier)[ \w-]*(?:einfügen|eintragen)\]|\[(?:votre|insérer)[ \w-]+\]|\[(?:su|inserte|insertar)[ \w-]+(?:aquí)?\]"
-    r"|(?<![A-Za-z0-9_$#%{\\\"'])\{[A-Za-z_][A-Za-z_]*\}(?![A-Za-z0-9_}])"
-)
+#: Names that are no template's.
 _NOT_VARIABLE = re.compile(
     r"^(?:\$\{(?:HOME|PATH|PWD|USER|SHELL|TMPDIR|TMP|TEMP|LANG|HOSTNAME|[A-Z]+_(?:HOME|ROOT|DIR|PATH))\}|%(?:PATH|HOME|USERPROFILE|APPDATA|LOCALAPPDATA|TEMP|TMP|SYSTEMROOT|WINDIR|PROGRAMFILES|COMSPEC|OS)%|__(?:FILE|LINE|FUNCTION|DATE|TIME|COUNTER|STDC|GNUC|VA_ARGS|BASE_FILE|PRETTY_FUNCTION|TIMESTAMP|OBJC|ELF|LP64|CUDACC|ASSEMBLER|VA_OPT)(?:_\w+)?__)$"
 )
@@ -240,9 +267,18 @@ _EXPLAINS = re.compile(
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 
 
+def slots(sentence: str) -> list[str]:
+    """Slots of a sentence whose masked form retrieves an exemplar of a template from the index."""
+    return [m[0] for m in _SLOT.finditer(sentence) if masked(m[0]) in INDEX]
+
+
 def variables(text: str) -> list[str]:
-    """Template variables that stand unfilled in running text: not in code, quotes or an explanation of such things."""
-    if not any(_VARIABLE.match(text, m.start()) for m in _MAYBE.finditer(text)):
+    """Template variables that stand unfilled in running text.
+
+    The slots retrieved are checked for what stands around them: not code, quotes
+    or an explanation of such things.
+    """
+    if not any(_SLOT.match(text, m.start()) for m in _MAYBE.finditer(text)):
         return []
     out, fenced = [], False
     for line in text.split("\n"):
@@ -253,8 +289,8 @@ def variables(text: str) -> list[str]:
             continue
         for s in _SENTENCE.split(line):
             bare = _QUOTED.sub(" ", s)
-            found = [m[0] for m in _VARIABLE.finditer(bare) if not _NOT_VARIABLE.match(m[0])]
-            if found and not _EXPLAINS.search(_VARIABLE.sub(" ", bare)) and not re.match(r"\s*(?:export|set|sudo|cd|echo|index|docker|curl|git)\s+\S*[-=/$]|\s*[\w.]+ --?\w", s):
+            found = [x for x in slots(bare) if not _NOT_VARIABLE.match(x)]
+            if found and not _EXPLAINS.search(_SLOT.sub(lambda m: " " if masked(m[0]) in INDEX else m[0], bare)) and not re.match(r"\s*(?:export|set|sudo|cd|echo|index|docker|curl|git)\s+\S*[-=/$]|\s*[\w.]+ --?\w", s):
                 out += found
     return out
 
@@ -317,44 +353,59 @@ def retrieve(bag: set[str]) -> dict[str, list[int]]:
     return out
 
 
+#: Distinct terms a task counts before it hands its counts on.
+HELD_TERMS = 200_000
+
+
 def _scan(batches):
-    """Per batch: one row per document that could be residue, and the document frequencies of the indexed terms."""
+    """One row per document that could be residue, with the terms of its candidate lines; and partial document frequencies of all terms of all documents."""
     total: Counter = Counter()
     n_docs = 0
 
-    cols = ["doc_id", "body", "variables", "cands", "term", "n"]
+    cols = ["doc_id", "body", "variables", "cands", "terms", "term", "n"]
     cand = pa.list_(pa.struct([("s", pa.string()), ("n", pa.int64())]))
-    types = [pa.int64(), pa.int64(), pa.list_(pa.string()), cand, pa.string(), pa.int64()]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.string()), cand, pa.list_(pa.string()), pa.string(), pa.int64()]
+
+    def counted():
+        stats = [(None, None, None, None, None, t, n) for t, n in total.items()]
+        total.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*stats), types)], names=cols)
+
     for b in batches:
         rows = []
         for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             n_docs += 1
             if not text or not text.strip():
                 continue
-            seen, found, body = set(), [], 0
+            seen, found, own, body = set(), [], set(), 0
             for s, n in passages(text).items():
                 body += size(s.strip()) * n
                 if s.startswith("    "):
+                    seen |= terms(s)
                     continue
-                hit, bag = False, set()
+                hit, bag, line = False, set(), set()
                 for x in _SENTENCE.split(s):
                     bag = terms(x)
-                    seen |= bag & KNOWN
+                    line |= bag
                     hit = hit or bool(retrieve(bag))
+                seen |= line
                 if hit or is_furniture(s, bag):
                     found.append({"s": s, "n": n})
+                    own |= line
             total.update(seen)
             var = variables(text)
             if found or var:
-                rows.append((i, body, var, found, None, None))
+                rows.append((i, body, var, found, list(own), None, None))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=cols)
-    stats = [(None, None, None, None, t, n) for t, n in [("", n_docs), *total.items()]]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*stats), types)], names=cols)
+        if len(total) > HELD_TERMS:
+            yield counted()
+    total[""] = n_docs
+    yield counted()
 
 
 def containment(bag: set[str], idf: dict[str, float], rest: float) -> dict[str, float]:
-    """Best TF-IDF containment of a passage by label, of those that reach it by an exemplar or by the label's vocabulary."""
+    """Best TF-IDF containment of a passage by label, of those that reach it by an exemplar or by the label's vocabulary; ``rest`` weighs a term not counted."""
     weight = {t: idf.get(t, rest) for t in bag}
     whole = sum(weight.values()) or 1.0
     out: dict[str, float] = {}
@@ -382,13 +433,15 @@ def judge_line(line: str, idf: dict[str, float], rest: float) -> list[tuple[str,
     return [(out[s.strip()], s.strip()) for s in _SENTENCE.split(line) if s.strip() in out]
 
 
-def _judge(idf: dict[str, float], rest: float):
+def _judge(n_docs: int):
     names = ["doc_id", "label", "coverage", "variables"]
 
     def run(batches):
         for b in batches:
             rows = []
-            for i, body, var, cands in zip(*(c.to_pylist() for c in b.columns)):
+            for i, body, var, cands, df in zip(*(c.to_pylist() for c in b.columns)):
+                idf = {t: math.log((n_docs + 1) / (n + 1)) + 0.1 for t, n in df or ()}
+                rest = math.log(n_docs + 1) + 0.1
                 by: Counter = Counter()
                 for c in cands or []:
                     for label, part in judge_line(c["s"], idf, rest):
@@ -398,7 +451,7 @@ def _judge(idf: dict[str, float], rest: float):
                 cover = sum(residue.values())
                 label = max(residue, key=lambda k: (residue[k], k)) if cover >= COVERAGE else ("template" if var else None)
                 if label:
-                    rows.append((i, label, round(cover, 6), var or []))
+                    rows.append((i, label, round(cover, 6) if label != "template" else 1.0, var or []))
             cols = list(zip(*rows)) if rows else [[]] * 4
             types = [pa.int64(), pa.string(), pa.float64(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
@@ -410,14 +463,17 @@ def residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """doc_id, label (error, script, filler or template), coverage and variables of the documents to exclude.
 
     The whole text of every document is read; document frequencies are counted
-    over all of them. Page furniture does not count as text. NULL, empty, blank and
+    over all of them, in parts first, and joined to the terms of candidate passages only. ``coverage`` is
+    the share of the text that is residue, and for ``template`` that of the slot. Page furniture does not count as text. NULL, empty, blank and
     merely odd texts are no residue; repeated rows come out repeated.
     """
     src = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, body long, variables array<string>, cands array<struct<s: string, n: long>>, term string, n long"
-    seen = cut(src.mapInArrow(_scan, schema), "residue")
-    counts = {r["term"]: r["n"] for r in seen.filter("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # at most the index's terms
-    n = counts.pop("", 0)
-    idf = {t: math.log((n + 1) / (counts.get(t, 0) + 1)) + 0.1 for t in INDEX}
-    rest = OUTSIDE * sum(idf.values()) / len(idf)
-    return seen.filter("term is null").select("doc_id", "body", "variables", "cands").mapInArrow(_judge(idf, rest), "doc_id long, label string, coverage double, variables array<string>")
+    schema = "doc_id long, body long, variables array<string>, cands array<struct<s: string, n: long>>, terms array<string>, term string, n long"
+    seen = cut(src.mapInArrow(_scan, schema).withColumn("row", F.monotonically_increasing_id()), "residue")
+    df = seen.filter("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
+    n_docs = seen.filter("term = ''").agg(F.sum("n")).first()[0] or 0
+    rows = seen.filter("term is null").select("row", "doc_id", "body", "variables", "cands")
+    met = cut(seen.filter("term is null").select("row", F.explode("terms").alias("term")), "terms")
+    weights = hot_join(met, df, ["term"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df"))  # the terms of one document
+    judged = rows.join(weights, "row", "left").select("doc_id", "body", "variables", "cands", "df")
+    return judged.mapInArrow(_judge(n_docs), "doc_id long, label string, coverage double, variables array<string>")
