@@ -3,8 +3,8 @@
 Labelled exemplars of residue stand in an inverted index, term by term. Every
 passage window of every document (up to three sentences of a line) retrieves exemplars
 by the terms they share; TF-IDF containment, with the document frequencies of all
-terms over the whole corpus, says how much of the passage an exemplar, or the
-vocabulary of its label, accounts for. A document whose passages are residue for the
+terms over the whole corpus, says how much of the passage an exemplar, or
+up to three of one label, account for. A document whose passages are residue for the
 most part, page furniture aside, is excluded. So is one in whose running text a
 template variable stands unfilled: there the passage is the slot itself, its names
 masked, and the exemplar it retrieves must be it whole.
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from symgrove.operators.skew import hot_join
 from symgrove.session import cut
 
-#: Share of a passage's TF-IDF weight that one exemplar, or the vocabulary of one label, must hold; share of a text that must be residue.
-CONTAINMENT, VOCABULARY, COVERAGE = 0.7, 0.85, 0.5
+#: Share of a passage's TF-IDF weight that one exemplar, or JOINED of one label together, must hold; share of a text that must be residue.
+CONTAINMENT, TOGETHER, COVERAGE = 0.7, 0.85, 0.5
+JOINED = 3
 #: Share of a passage's terms that retrieves an exemplar before the weights are known.
 RETRIEVAL = 0.45
 
@@ -338,7 +339,7 @@ TELLING = KNOWN - COMMON
 
 
 def retrieve(bag: set[str]) -> dict[str, list[int]]:
-    """Exemplars, by label, that share at least RETRIEVAL of the terms, one telling term among them; none where only the label's vocabulary does."""
+    """Exemplars, by label, that share at least RETRIEVAL of the terms, one telling term among them; none where only several of a label do."""
     need = RETRIEVAL * len(bag)
     if len(bag & KNOWN) < need or bag.isdisjoint(TELLING):
         return {}
@@ -404,17 +405,31 @@ def _scan(batches):
     yield counted()
 
 
+def cover(bag: set[str], label: str, weight: dict[str, float]) -> float:
+    """Weight of a passage that a few exemplars of one label account for together; each one added takes the most of what is left."""
+    near = {i for t in bag for i in INDEX.get(t, ()) if BANK[i][0] == label}
+    left, held = set(bag), 0.0
+    for _ in range(JOINED):
+        best = max(near, key=lambda i: (sum(weight[t] for t in left & BANK[i][1]), -i), default=None)
+        if best is None:
+            break
+        held += sum(weight[t] for t in left & BANK[best][1])
+        left -= BANK[best][1]
+    return held
+
+
 def containment(bag: set[str], idf: dict[str, float], rest: float) -> dict[str, float]:
-    """Best TF-IDF containment of a passage by label, of those that reach it by an exemplar or by the label's vocabulary; ``rest`` weighs a term not counted."""
+    """Best TF-IDF containment of a passage by label, of those that reach it by one exemplar or by JOINED of them; ``rest`` weighs a term not counted."""
     weight = {t: idf.get(t, rest) for t in bag}
     whole = sum(weight.values()) or 1.0
     out: dict[str, float] = {}
     for label, ids in retrieve(bag).items():
         best = max((sum(weight[t] for t in bag & BANK[i][1]) / whole for i in ids), default=0.0)
-        wide = sum(weight[t] for t in bag & LABELS[label]) / whole
-        score = max(best / CONTAINMENT, wide / VOCABULARY)
-        out[label] = min(1.0, score * CONTAINMENT) if score < 1 else max(best, wide)
-    return {k: v for k, v in out.items() if v >= CONTAINMENT}
+        most = sum(weight[t] for t in bag & LABELS[label]) / whole  # all exemplars of a label together have no more
+        wide = cover(bag, label, weight) / whole if best < CONTAINMENT and most >= TOGETHER else 0.0
+        if best >= CONTAINMENT or wide >= TOGETHER:
+            out[label] = max(best, wide)
+    return out
 
 
 def judge_line(line: str, idf: dict[str, float], rest: float) -> list[tuple[str, str]]:
