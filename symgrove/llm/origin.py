@@ -6,14 +6,18 @@ stands. The masked sets are clustered by MinHash banding with verification;
 what a cluster spans says what it is: copies under several repositories are
 vendored (checked on the unmasked tokens), families of one repository that
 differ only in their names are generated, clusters of nothing but literals are
-data, and a cluster most of whose members are marked as generated is generated.
-Declared places, file names and notices are evidence of a file's own.
+data, clusters of terse names without layout are minified, and a cluster most of
+whose members are marked as generated is generated. Places that declare foreign
+or generated code are taken at their word, and so are notices: first comment
+lines that hold the masked shingles of a labelled one.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,26 +26,67 @@ from pyspark.sql import functions as F
 
 from symgrove.llm.similar import similar_classes
 from symgrove.operators.skew import hot_join, hot_keys
-from symgrove.session import cut
+from symgrove.session import cut, cut_counted
 
 SHINGLE = 5
 #: Evidence needs this much: tokens of a copy, tokens and files of a family, characters of literals of a blob.
 COPY_TOKENS = 30
 FAMILY_TOKENS, FAMILY_FILES = 120, 4
 BLOB_CHARS, BLOB_SHARE = 500, 0.5
-MINIFIED_CHARS = 300
+MINIFIED_CHARS, MINIFIED_NAMES = 300, 20
 SALTS = 16
 
 #: Directories that declare foreign code, names and directories that declare generated code.
 VENDOR_PLACE = r"(?i)(^|/)(vendor|vendored|_vendor|third[_-]?party|3rd[_-]?party|node_modules|bower_components|jspm_packages|external|externals|extern|deps|godeps|_deps|pods|carthage|site-packages|dist-packages|subprojects|contrib/(imported|vendor|third_party))/"
 GENERATED_NAME = r"(?i)(^|/)(moc_[^/]+\.(cpp|cc|cxx|h)|qrc_[^/]+\.(cpp|cc|cxx)|ui_[^/]+\.h|lex\.[^/]+\.(c|cc|cpp)|zz_generated[^/]*|[^/]+(_pb2|_pb2_grpc)\.pyi?|[^/]+\.pb\.(cc|h|go|cpp)|[^/]+(\.|_)(pb|grpc|twirp)\.go|[^/]+\.(tab|yy)\.(c|h|cc|cpp|hpp)|[^/]+[._]g(en|enerated)\.[a-z]+|[^/]+\.(designer|g|g\.i)\.[a-z]+|[^/]+\.freezed\.dart|[^/]+_(gen|generated)\.[a-z]+)$"
 GENERATED_PLACE = r"(?i)(^|/)(gen|generated|__generated__|autogen|auto-generated|auto_generated|generated-sources|generated_src|build/gen)/"
-MINIFIED_NAME = r"(?i)\.(min|bundle|packed|chunk)\.[cm]?js$"
-_NOTICE = re.compile(
-    r"^\W*(?:@generated\b|auto-?generated\b|(?:this|the) (?:file|code|source|module|header)[^.\n]{0,40}\b(?:was|is|has been)\b[^.\n]{0,30}\b(?:generated|produced|created|emitted|written)\b|(?:code |file |source )?(?:automatically |auto-?)?(?:generated|produced|created|emitted) (?:automatically )?(?:by|from|with|using)\b(?!.*\bhand\b)|do not (?:edit|modify|change)\b|machine[- ]generated"
-    r"|(?:diese|die) datei wurde[^.\n]{0,30}(?:erzeugt|generiert|erstellt)|automatisch (?:erzeugt|generiert|erstellt)|(?:ce|le) fichier (?:a été|est)[^.\n]{0,30}(?:généré|produit|créé)|généré automatiquement|fichier généré|(?:este|el) (?:archivo|fichero) (?:fue|ha sido|es)[^.\n]{0,30}(?:generado|creado|producido)|(?:archivo )?generado automáticamente|(?:этот |данный )?файл[^.\n]{0,30}(?:сгенерирован|создан|сформирован)|автоматически (?:сгенерирован|создан)|сгенерировано|(?:此|本|该)?(?:文件|代码)?(?:由.{1,20})?自动生成|自動生成|このファイルは.{0,20}(?:生成|作成)され)",
-    re.I,
-)
+#: Labelled notices of generators; NAME and what is not a word of these lines is masked.
+NOTICES = """@generated
+@generated NAME
+@generated by NAME
+@generated from NAME
+AUTOGENERATED
+AUTOGENERATED NAME
+auto-generated by NAME
+Code generated by NAME. DO NOT EDIT.
+Generated by NAME. DO NOT EDIT.
+Generated code. Do not edit.
+Generated by the NAME compiler. DO NOT EDIT!
+Automatically generated by NAME. Do not edit.
+Automatically generated file. Do not edit.
+Automatically generated from NAME. Do not modify.
+This file was automatically generated by NAME. Do not edit.
+This file is automatically generated. Do not edit.
+This file was automatically generated from NAME; changes will be lost.
+This file was automatically produced from NAME; changes will be lost.
+This file is generated by NAME, do not edit it by hand.
+This code was generated by a tool. Changes to this file will be lost if the code is generated again.
+Created by the NAME compiler from the interface description, edit that one instead.
+Machine generated, do not edit.
+Machine-generated file, do not modify.
+Do not edit this file, it is generated.
+DO NOT EDIT. This file was generated.
+DO NOT MODIFY. Generated by NAME.
+Diese Datei wurde maschinell erzeugt und darf nicht von Hand geändert werden.
+Diese Datei wurde automatisch erzeugt. Nicht bearbeiten.
+Diese Datei wurde automatisch generiert, bitte nicht ändern.
+Automatisch erzeugte Datei, nicht von Hand ändern.
+Ce fichier a été généré automatiquement, ne pas le modifier.
+Ce fichier est généré par NAME, ne pas modifier à la main.
+Fichier généré automatiquement par NAME. Ne pas modifier.
+Este archivo fue generado automáticamente, no lo edite.
+Este archivo ha sido generado por NAME, no modificar a mano.
+Archivo generado automáticamente por NAME. No editar.
+Этот файл создан автоматически, не изменяйте его вручную.
+Этот файл сгенерирован автоматически. Не редактировать.
+Файл сгенерирован программой NAME, не править вручную.
+自动生成的文件，请勿手工修改
+此文件由 NAME 自动生成，请勿编辑
+本文件自动生成，请勿修改
+自動生成されたファイルです。編集しないでください。
+このファイルは NAME によって自動生成されました。手で変更しないでください。"""
+#: Share of a notice's shingles that the first line of a comment must hold to be one.
+NOTICE_SHARE = 0.8
 _LEAD = re.compile(r"\s*(?://|#|/\*|\"\"\"|''')[!/*]*\s*(.*)")
 _STRINGS = r'[rRbBuUfF]?""".*?"""|[rRbBuUfF]?\'\'\'.*?\'\'\'|R"\(.*?\)"|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`'
 _TOKEN = re.compile(rf"//[^\n]*|/\*.*?\*/|{_STRINGS}|\w[\w.]*(?<=\d)\b|\w+|[^\w\s]", re.S)
@@ -115,6 +160,34 @@ def shingles(tokens: np.ndarray, text: np.ndarray) -> np.ndarray:
     return distinct((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
 
 
+_HEAD_TOKEN = re.compile(r"[a-z]*\d[0-9a-z]*|@?[^\W\d_ぁ-ヿ㐀-鿿]+|[ぁ-ヿ㐀-鿿]")
+_HEAD_WORDS = frozenset(w.lower() for w in _HEAD_TOKEN.findall(NOTICES)) - {"name"}
+
+
+def head_shingles(line: str) -> frozenset[tuple[str, ...]]:
+    """Five-token shingles of a comment line, its names and numbers masked; a shorter line is one shingle."""
+    t: list[str] = []
+    for w in _HEAD_TOKEN.findall(line.lower()):
+        w = w if w in _HEAD_WORDS else "_"
+        if w != "_" or t[-1:] != ["_"]:
+            t.append(w)
+    return frozenset(tuple(t[i : i + SHINGLE]) for i in range(max(1, len(t) - SHINGLE + 1))) if t else frozenset()
+
+
+_NOTICE_SETS = [head_shingles(x) for x in NOTICES.split("\n")]
+_NOTICE_INDEX: dict[tuple[str, ...], list[int]] = {}
+for _i, _set in enumerate(_NOTICE_SETS):
+    for _s in _set:
+        _NOTICE_INDEX.setdefault(_s, []).append(_i)
+
+
+@lru_cache(100_000)
+def is_notice(line: str) -> bool:
+    """Whether a comment line holds NOTICE_SHARE of the shingles of a labelled notice."""
+    hits = Counter(i for x in head_shingles(line) for i in _NOTICE_INDEX.get(x, ()))
+    return any(n >= NOTICE_SHARE * len(_NOTICE_SETS[i]) for i, n in hits.items())
+
+
 _SUMS = ("n_rows", "tokens", "lit", "lit_chars", "ident", "ident_chars", "chars", "spaces", "lines", "notices")
 _FILE = "repo string, file_path string, " + ", ".join(f"{c} long" for c in _SUMS) + ", masked array<int>, plain array<int>"
 
@@ -141,7 +214,7 @@ class _File:
         n["chars"] += len(code)
         n["lines"] += lines
         n["spaces"] += code.count(" ") + code.count("\t") + lines - 1
-        n["notices"] += bool(first and _NOTICE.match(first[1]))
+        n["notices"] += bool(first and is_notice(first[1]))
         self.tokens += _vocabulary.numbers(self.split(code))
         self.ends.append(len(self.tokens))
         if len(self.tokens) > self.KEPT:
@@ -223,46 +296,52 @@ def scan_files(symbols: DataFrame) -> DataFrame:
 
 
 def _minified() -> Column:
-    wide = F.col("chars") / F.col("lines") > 160
-    terse = (F.col("ident_chars") / F.greatest(F.col("ident"), F.lit(1)) < 3.2) & (F.col("spaces") / F.col("chars") < 0.12)
-    return (F.col("chars") >= MINIFIED_CHARS) & (F.col("ident") >= 20) & wide & terse
+    """Layout of minified code, over the sums of a cluster: wide lines, terse names, hardly a space."""
+    wide = F.col("c_chars") / F.col("c_lines") > 160
+    terse = (F.col("c_ident_chars") / F.greatest(F.col("c_ident"), F.lit(1)) < 3.2) & (F.col("c_spaces") / F.col("c_chars") < 0.12)
+    return (F.col("chars") >= MINIFIED_CHARS) & (F.col("ident") >= MINIFIED_NAMES) & wide & terse
 
 
 def file_origins(symbols: DataFrame) -> DataFrame:
     """What each file is: repo, file_path, class_id, class_files, class_repos, declared, notice, minified, data, copied, family, origin.
 
-    ``origin`` is the first that applies of vendored, minified, data, generated,
-    or ``hand-written``. Generators' own text, lists and tables written by hand
+    Every file belongs to a cluster of files with similar masked shingles (one
+    that resembles none is a cluster of its own), and ``minified``, ``data`` and
+    ``family`` are read off the sums over the cluster, ``copied`` off clusters of the unmasked shingles.
+    ``declared`` and ``notice`` are what a file's place, name or first comment says.
+    ``origin`` is the first that applies of vendored (copied, or declared), minified, data,
+    generated (family, notice or declared; or so are most of its cluster), or ``hand-written``. Generators' own text, lists and tables written by hand
     (under 500 characters of literals) are hand-written. NULL definitions count as
     empty, a NULL repo or path as ''; repeated rows change nothing but counts.
     """
     key = F.concat_ws("\0", "repo", "file_path")
-    files = cut(scan_files(symbols).withColumn("id", key), "files")
-    cls = similar_classes(files.select("id", F.lit("").alias("block"), F.col("masked").alias("sketch"))).withColumnRenamed("cls", "class_id")
-    f = files.withColumn("text_id", F.xxhash64("plain")).drop("masked", "plain").join(cls, "id")
-    data = (F.col("lit_chars") >= BLOB_CHARS) & (F.col("lit_chars") >= BLOB_SHARE * F.col("chars"))
+    files, n = cut_counted(scan_files(symbols).withColumn("id", key), "files", rows=F.count(F.lit(1)))
+    n_files = n["rows"]
+    cls = similar_classes(files.select("id", F.lit("").alias("block"), F.col("masked").alias("sketch")), total=n_files).withColumnRenamed("cls", "class_id")
     vendor, gen = F.col("file_path").rlike(VENDOR_PLACE), F.col("file_path").rlike(GENERATED_NAME) | F.col("file_path").rlike(GENERATED_PLACE)
-    f = f.withColumns({"data": data, "minified": _minified() | F.col("file_path").rlike(MINIFIED_NAME), "vendor_place": vendor, "gen_place": gen, "notice": F.col("notices") > 0})
-    f = cut(f, "classed")
-    # what a cluster spans; per repo first, so that a large cluster is counted in parts
-    per_repo = f.groupBy("class_id", "repo").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("text_id").alias("texts"), F.min("tokens").alias("least"), F.count_if("data").alias("n_data"), F.count_if(F.col("notice") | F.col("gen_place")).alias("n_gen"))
-    span = per_repo.groupBy("class_id").agg(F.sum("n").alias("class_files"), F.count(F.lit(1)).alias("class_repos"), F.sum("n_data").alias("data_files"), F.sum("n_gen").alias("gen_files"))
-    fam = per_repo.filter((F.col("texts") >= FAMILY_FILES) & (F.col("least") >= FAMILY_TOKENS)).select("class_id", "repo", F.lit(True).alias("family"))
-    # a class may hold much of all files, so joins on it are made by hot_join
-    f = cut(hot_join(cut(hot_join(f, cut(span, "span"), ["class_id"]), "spanned"), cut(fam, "families"), ["class_id", "repo"]), "families")
+    # a text is known by two hashes, so that texts are counted exactly at any number of files
+    f = files.withColumns({"text_id": F.struct(F.xxhash64("plain").alias("h"), F.xxhash64(F.lit(1), "plain").alias("i")), "vendor_place": vendor, "gen_place": gen, "notice": F.col("notices") > 0})
+    f = cut(f.drop("masked", "plain").join(cls, "id"), "classed")
+    # what a cluster spans and holds; per text and repo first, so that a large cluster is counted in parts
+    sums = ("chars", "lines", "spaces", "lit_chars", "ident", "ident_chars")
+    per_text = f.groupBy("class_id", "repo", "text_id").agg(F.count(F.lit(1)).alias("n"), F.min("tokens").alias("least"), F.count_if(F.col("notice") | F.col("gen_place")).alias("n_gen"), *[F.sum(c).alias(c) for c in sums])
+    per_repo = per_text.groupBy("class_id", "repo").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.min("least").alias("least"), F.sum("n_gen").alias("n_gen"), *[F.sum(c).alias(c) for c in sums])
+    per_repo, n = cut_counted(per_repo, "per-repo", rows=F.count(F.lit(1)))
+    span = per_repo.groupBy("class_id").agg(F.sum("n").alias("class_files"), F.count(F.lit(1)).alias("class_repos"), F.sum("n_gen").alias("gen_files"), *[F.sum(c).alias(f"c_{c}") for c in sums])
+    family = (F.col("texts") >= FAMILY_FILES) & (F.col("least") >= FAMILY_TOKENS)
+    known = hot_join(per_repo.select("class_id", "repo", family.alias("family")), span, ["class_id"], total=n["rows"])
+    f = cut(hot_join(f, known, ["class_id", "repo"], total=n_files), "clusters")  # a class may hold much of all files
     # an exact check follows: the same tokens, unmasked, under several repositories
-    suspects = f.filter((F.col("class_repos") > 1) & (F.col("tokens") >= COPY_TOKENS))
-    suspects = suspects.select("id", "class_id").join(files.select("id", "plain"), "id")
-    copies = similar_classes(suspects.select("id", F.col("class_id").alias("block"), F.col("plain").alias("sketch"))).withColumnRenamed("cls", "copy_id")
+    suspects = f.filter((F.col("class_repos") > 1) & (F.col("tokens") >= COPY_TOKENS)).select("id", "class_id")
+    suspects, n = cut_counted(files.select("id", "plain").join(suspects, "id"), "suspects", rows=F.count(F.lit(1)))
+    copies = similar_classes(suspects.select("id", F.col("class_id").alias("block"), F.col("plain").alias("sketch")), total=n["rows"]).withColumnRenamed("cls", "copy_id")
     copies = cut(copies.withColumn("copy_repo", F.substring_index("id", "\0", 1)), "copies")
-    foreign = copies.groupBy("copy_id").agg(F.countDistinct("copy_repo").alias("r")).filter("r > 1").select("copy_id", F.lit(True).alias("copied"))
-    copied = hot_join(copies, foreign, ["copy_id"]).filter("copied").select("id", "copied")
+    foreign = copies.groupBy("copy_id", "copy_repo").agg(F.lit(1).alias("one")).groupBy("copy_id").agg(F.count("one").alias("r")).filter("r > 1").select("copy_id", F.lit(True).alias("copied"))
+    copied = hot_join(copies, foreign, ["copy_id"], total=n["rows"]).filter("copied").select("id", "copied")
     out = f.join(copied, "id", "left")
-    blob = F.col("data") | ((F.col("lit_chars") >= BLOB_CHARS) & (F.col("data_files") * 2 > F.col("class_files")))
-    family = F.coalesce("family", F.lit(False)) & ~blob
-    is_copy = F.coalesce("copied", F.lit(False))
-    made = F.col("gen_place") | F.col("notice") | family | (F.col("gen_files") * 2 > F.col("class_files"))
-    origin = F.when(F.col("vendor_place") | is_copy, "vendored").when(F.col("minified"), "minified").when(blob, "data").when(made, "generated").otherwise("hand-written")
-    return out.select(
-        "repo", "file_path", "class_id", "class_files", "class_repos", (F.col("vendor_place") | F.col("gen_place")).alias("declared"), "notice", "minified", blob.alias("data"), is_copy.alias("copied"), family.alias("family"), origin.alias("origin")
-    )
+    # literals fill the cluster, and there are enough of them in the file
+    blob = (F.col("lit_chars") >= BLOB_CHARS) & (F.col("c_lit_chars") >= BLOB_SHARE * F.col("c_chars"))
+    out = out.withColumns({"minified": _minified(), "data": blob, "copied": F.coalesce("copied", F.lit(False)), "family": F.col("family") & ~blob})
+    made = F.col("gen_place") | F.col("notice") | F.col("family") | (F.col("gen_files") * 2 > F.col("class_files"))
+    origin = F.when(F.col("vendor_place") | F.col("copied"), "vendored").when(F.col("minified"), "minified").when(F.col("data"), "data").when(made, "generated").otherwise("hand-written")
+    return out.select("repo", "file_path", "class_id", "class_files", "class_repos", (F.col("vendor_place") | F.col("gen_place")).alias("declared"), "notice", "minified", "data", "copied", "family", origin.alias("origin"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from symgrove.operators.components import connected_components
 from symgrove.operators.skew import hot_join, hot_keys
-from symgrove.session import cut
+from symgrove.session import cut, cut_counted
 
 ROWS, BANDS = 10, 40
 THRESHOLD = 0.8
@@ -102,22 +102,22 @@ def jaccard(a: str, b: str) -> Column:
     return F.when(F.size(a) + F.size(b) == 0, 0.0).otherwise(inter / (F.size(a) + F.size(b) - inter))
 
 
-def _links(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """The ``pairs`` (n, lead) whose sets are similar."""
+def _links(pairs: DataFrame, rows: DataFrame, threshold: float, total: int) -> DataFrame:
+    """The ``pairs`` (n, lead; ``total`` of them) whose sets are similar."""
     # sizes go first, as sets are long; a row has no more pairs than it has bands and leaders, a leader may have any number
     size = rows.select("n", F.size("sketch").alias("z"))
-    sized = hot_join(pairs, size.select(F.col("n").alias("lead"), F.col("z").alias("z2")), ["lead"]).join(size, "n")
-    fits = cut(sized.filter((F.col("z") >= threshold * F.col("z2")) & (F.col("z2") >= threshold * F.col("z"))).select("n", "lead"), "fits")
-    both = hot_join(fits, rows.select(F.col("n").alias("lead"), F.col("sketch").alias("s2")), ["lead"]).join(rows.select("n", F.col("sketch").alias("s1")), "n")
+    sized = hot_join(pairs, size.select(F.col("n").alias("lead"), F.col("z").alias("z2")), ["lead"], total=total).join(size, "n")
+    fits, n = cut_counted(sized.filter((F.col("z") >= threshold * F.col("z2")) & (F.col("z2") >= threshold * F.col("z"))).select("n", "lead"), "fits", rows=F.count(F.lit(1)))
+    both = hot_join(fits, rows.select(F.col("n").alias("lead"), F.col("sketch").alias("s2")), ["lead"], total=n["rows"]).join(rows.select("n", F.col("sketch").alias("s1")), "n")
     return both.filter(jaccard("s1", "s2") >= threshold).select("n", "lead")
 
 
-def similar_classes(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def similar_classes(items: DataFrame, threshold: float = THRESHOLD, total: int | None = None) -> DataFrame:
     """id, cls of every row of ``items`` (id unique, block, sketch ARRAY<INT>: the whole set).
 
     Rows are linked if they share a block and a band and their similarity is at
     least ``threshold``; classes are the connected components of the links, named
-    by a number that holds within this result. Equal sets are one class at once
+    by a number that holds within this result; ``total`` is the number of rows, if known. Equal sets (by 128 bits of hash) are one class at once
     and go on as one row. A bucket is read once: each row is compared, by signature,
     with the rows of the bucket that resemble none before them, and what agrees is
     verified by set; no bucket is cut short and none is paired out. Large buckets
@@ -128,14 +128,17 @@ def similar_classes(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     signatures disagree by four standard errors. Empty sets make a class of
     their own each.
     """
-    full = cut(items.select("id", F.xxhash64("block").alias("block"), "sketch").withColumn("set_id", F.xxhash64("block", "sketch")).withColumn("n", F.monotonically_increasing_id()), "sets")
-    reps = full.filter(F.size("sketch") > 0).groupBy("set_id").agg(F.min("n").alias("rep"))
+    set_id = {"set_id": F.xxhash64("block", "sketch"), "set_id2": F.xxhash64(F.lit(1), "block", "sketch"), "n": F.monotonically_increasing_id()}
+    count = {"rows": F.count(F.lit(1))}
+    full, n = cut_counted(items.select("id", F.xxhash64("block").alias("block"), "sketch").withColumns(set_id), "sets", **count)
+    n_full = n["rows"]
+    reps = cut(full.filter(F.size("sketch") > 0).groupBy("set_id", "set_id2").agg(F.min("n").alias("rep")), "representatives")
     rows = cut(full.join(reps, full["n"] == reps["rep"], "left_semi").select("n", "block", "sketch"), "reps")
     banded = cut(rows.mapInArrow(_band_rows, "n long, block long, bands array<long>, signs binary"), "banded")
-    b = banded.select("n", "block", F.posexplode("bands").alias("band", "h")).select("n", F.xxhash64("block", "band", "h").alias("bucket"))
+    b = banded.select("n", F.explode(F.transform("bands", lambda h, band: F.xxhash64("block", band, h))).alias("bucket"))
     shared = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    m = cut(hot_join(b, shared, ["bucket"]).filter("c > 1").drop("c"), "members")
-    hot = [k for (k,) in hot_keys(m, ["bucket"], HOT_BUCKET)]
+    m, n = cut_counted(hot_join(b, shared, ["bucket"]).filter("c > 1").drop("c"), "members", **count)
+    hot = [k for (k,) in hot_keys(m, ["bucket"], HOT_BUCKET, n["rows"])]
     salt = F.when(F.col("bucket").isin(hot), F.pmod(F.xxhash64("n"), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
     rows_in = m.join(banded.select("n", "signs"), "n").withColumn("part", F.xxhash64("bucket", salt))
     first = rows_in.select("part", "n", "signs").repartition("part").sortWithinPartitions("part", "n").mapInArrow(_leaders, "n long, lead long, part long")
@@ -144,9 +147,13 @@ def similar_classes(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame
         parts = m.filter(F.col("bucket").isin(hot)).select("n", "bucket", F.xxhash64("bucket", salt).alias("part"))
         again = first.filter("lead is null").join(parts, ["n", "part"]).join(banded.select("n", "signs"), "n").select("bucket", "n", "signs")
         first = first.unionByName(again.repartition("bucket").sortWithinPartitions("bucket", "n").mapInArrow(_leaders, "n long, lead long, part long"))
-    pairs = cut(first.filter(F.col("lead") != FOLLOWS).select("n", "lead").distinct(), "pairs")
-    links = cut(_links(pairs, rows, threshold), "links")
-    comp = cut(connected_components(links.select(F.col("n").alias("a"), F.col("lead").alias("b"))), "classes")
+    pairs, n = cut_counted(first.filter(F.col("lead") != FOLLOWS).select("n", "lead").distinct(), "pairs", **count)
+    links, n = cut_counted(_links(pairs, rows, threshold, n["rows"]), "links", **count)
+
+    def joined(found: DataFrame) -> DataFrame:
+        return cut(connected_components(found.select(F.col("n").alias("a"), F.col("lead").alias("b"))), "classes")
+
+    comp = joined(links)
     # second pass: hot buckets always have rows that follow
     part = m.withColumn("part", F.xxhash64("bucket", salt))
     led = part.join(first.filter(F.col("lead") == FOLLOWS).select("part").distinct(), "part", "left_semi").select("bucket").distinct()
@@ -154,12 +161,15 @@ def similar_classes(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame
         led = led.unionByName(m.filter(F.col("bucket").isin(hot)).select("bucket")).distinct()
     mixed = cut(m.join(led, "bucket", "left_semi").join(comp.withColumnRenamed("node", "n"), "n", "left").select("n", "bucket", F.coalesce("comp", "n").alias("g")), "followed")
     apart = mixed.groupBy("bucket").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high")
-    side = cut(mixed.join(apart, "bucket", "left_semi").join(banded.select("n", "signs"), "n"), "apart")
-    other = side.select("bucket", F.col("n").alias("lead"), F.col("g").alias("g2"), F.col("signs").alias("s2"))
-    met = side.withColumnRenamed("signs", "s1").join(other, "bucket").filter("lead < n and g <> g2").select("n", "lead", "s1", "s2")
-    more = cut(_links(cut(met.mapInArrow(_near, "n long, lead long").distinct(), "pairs"), rows, threshold), "links")
-    if more.limit(1).count():
-        comp = connected_components(links.unionByName(more).select(F.col("n").alias("a"), F.col("lead").alias("b")))
+    side, n = cut_counted(mixed.join(apart, "bucket", "left_semi").join(banded.select("n", "signs"), "n"), "apart", **count)
+    if n["rows"]:
+        other = side.select("bucket", F.col("n").alias("lead"), F.col("g").alias("g2"), F.col("signs").alias("s2"))
+        met = side.withColumnRenamed("signs", "s1").join(other, "bucket").filter("lead < n and g <> g2").select("n", "lead", "s1", "s2")
+        near, n = cut_counted(met.mapInArrow(_near, "n long, lead long").distinct(), "pairs", **count)
+        if n["rows"]:
+            more, n = cut_counted(_links(near, rows, threshold, n["rows"]), "links", **count)
+            if n["rows"]:
+                comp = joined(links.unionByName(more))
     comp = comp.select(F.col("node").alias("rep"), "comp")
-    named = hot_join(full, reps, ["set_id"]).select("id", F.coalesce("rep", "n").alias("rep"))
-    return hot_join(cut(named, "named"), comp, ["rep"]).select("id", F.coalesce("comp", "rep").alias("cls"))
+    named = hot_join(full, reps, ["set_id", "set_id2"], total=n_full).select("id", F.coalesce("rep", "n").alias("rep"))
+    return hot_join(cut(named, "named"), comp, ["rep"], total=n_full).select("id", F.coalesce("comp", "rep").alias("cls"))
