@@ -68,6 +68,8 @@ Do not edit this file, it is generated.
 DO NOT EDIT. This file was generated.
 DO NOT MODIFY. Generated by NAME.
 Diese Datei wurde maschinell erzeugt und darf nicht von Hand geändert werden.
+Diese Datei wurde maschinell erzeugt und darf nicht geändert werden.
+Diese Datei wurde maschinell erzeugt. Änderungen gehen verloren.
 Diese Datei wurde automatisch erzeugt. Nicht bearbeiten.
 Diese Datei wurde automatisch generiert, bitte nicht ändern.
 Automatisch erzeugte Datei, nicht von Hand ändern.
@@ -181,9 +183,15 @@ for _i, _set in enumerate(_NOTICE_SETS):
         _NOTICE_INDEX.setdefault(_s, []).append(_i)
 
 
+#: Every line that holds NOTICE_SHARE of a notice has one of these in it, so others need no look-up.
+_NOTICE_CUE = re.compile(r"generat|produced|created|erzeugt|generiert|généré|generado|сгенер|создан|生成", re.I)
+
+
 @lru_cache(100_000)
 def is_notice(line: str) -> bool:
     """Whether a comment line holds NOTICE_SHARE of the shingles of a labelled notice."""
+    if not _NOTICE_CUE.search(line):
+        return False
     hits = Counter(i for x in head_shingles(line) for i in _NOTICE_INDEX.get(x, ()))
     return any(n >= NOTICE_SHARE * len(_NOTICE_SETS[i]) for i, n in hits.items())
 

@@ -25,22 +25,25 @@ FOLLOWS = -1
 HOT_BUCKET, SALTS = 0.002, 32
 
 _rng = np.random.default_rng(20240601)
-_MUL = _rng.integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
-_ADD = _rng.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64)
+_MUL = _rng.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
+_ADD = _rng.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32)
 
 
 def bands(sketch: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """One 64-bit hash per band of the MinHash signature of a set of int32, and a byte of each of its first values."""
-    x = sketch.astype(np.int64).astype(np.uint64)
-    sig = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(x), 4096):
-        h = (x[i : i + 4096, None] * _MUL + _ADD) >> np.uint64(20)
-        sig = np.minimum(sig, h.min(axis=0))
+    """One 64-bit hash per band of the MinHash signature of a set of int32, and a byte of each of its first values.
+
+    The members are hashes themselves, so permutations of 32 bits (odd multiples, modulo 2^32) do.
+    """
+    x = sketch.view(np.uint32)
+    sig = np.full(ROWS * BANDS, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for i in range(0, len(x), 1024):
+        np.minimum(sig, (x[i : i + 1024, None] * _MUL + _ADD).min(axis=0), out=sig)
+    wide = sig.astype(np.uint64)
     out = np.zeros(BANDS, dtype=np.uint64)
     for r in range(ROWS):
-        out = (out ^ sig.reshape(BANDS, ROWS)[:, r]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ wide.reshape(BANDS, ROWS)[:, r]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    signs = ((sig[:SIGNS] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(56)).astype(np.uint8)
+    signs = ((wide[:SIGNS] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(56)).astype(np.uint8)
     return out.astype(np.int64), signs.tobytes()
 
 
@@ -51,20 +54,20 @@ def _band_rows(batches):
 
 
 def _leaders(batches):
-    """Rows sorted by bucket (part, n, signs): pairs that agree with a leader of their bucket, the leaders themselves, and
-    the rows that follow one (lead is FOLLOWS).
+    """Rows sorted by bucket (part, n, hot, signs): pairs that agree with a leader of their bucket, the leaders of hot buckets, and
+    once for each bucket with rows that follow a leader a row that says so (lead is FOLLOWS).
 
     A row is compared with all leaders met so far at once; it becomes a leader too
     unless one surely is like it. Only the leaders of one bucket are kept.
     """
-    part, lead, n_lead = None, np.zeros((64, SIGNS), dtype=np.uint8), 0
+    part, lead, n_lead, told = None, np.zeros((64, SIGNS), dtype=np.uint8), 0, False
     ids = np.zeros(64, dtype=np.int64)
     for b in batches:
         out_n, out_lead, out_part = [], [], []
-        sig = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint8).reshape(-1, SIGNS)
-        for i, (p, n) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+        sig = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint8).reshape(-1, SIGNS)
+        for i, (p, n, hot) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)))):
             if p != part:
-                part, n_lead = p, 0
+                part, n_lead, told = p, 0, False
             sure = False
             if n_lead:
                 agree = (lead[:n_lead] == sig[i]).mean(axis=1)
@@ -73,18 +76,20 @@ def _leaders(batches):
                 out_lead += ids[near].tolist()
                 out_part += [None] * len(near)
                 sure = bool(len(near)) and agree.max() >= SURE
-            if sure:
+            if sure and not told:
+                told = True
                 out_n.append(n)
                 out_lead.append(FOLLOWS)
                 out_part.append(p)
-            else:
+            if not sure:
                 if n_lead == len(ids):
                     lead, ids = np.concatenate([lead, np.zeros_like(lead)]), np.concatenate([ids, np.zeros_like(ids)])
                 lead[n_lead], ids[n_lead] = sig[i], n
                 n_lead += 1
-                out_n.append(n)
-                out_lead.append(None)
-                out_part.append(p)
+                if hot:
+                    out_n.append(n)
+                    out_lead.append(None)
+                    out_part.append(p)
         yield pa.RecordBatch.from_arrays([pa.array(out_n, pa.int64()), pa.array(out_lead, pa.int64()), pa.array(out_part, pa.int64())], names=["n", "lead", "part"])
 
 
@@ -128,24 +133,26 @@ def similar_classes(items: DataFrame, threshold: float = THRESHOLD, total: int |
     signatures disagree by four standard errors. Empty sets make a class of
     their own each.
     """
-    set_id = {"set_id": F.xxhash64("block", "sketch"), "set_id2": F.xxhash64(F.lit(1), "block", "sketch"), "n": F.monotonically_increasing_id()}
+    set_id = {"set_id": F.xxhash64("block", "sketch"), "set_id2": F.xxhash64(F.lit(1), "block", "sketch")}
     count = {"rows": F.count(F.lit(1))}
-    full, n = cut_counted(items.select("id", F.xxhash64("block").alias("block"), "sketch").withColumns(set_id), "sets", **count)
+    full, n = cut_counted(items.select("id", F.size("sketch").alias("z"), F.xxhash64("block").alias("block"), *[x.alias(k) for k, x in set_id.items()]).withColumn("n", F.monotonically_increasing_id()), "sets", **count)
     n_full = n["rows"]
-    reps = cut(full.filter(F.size("sketch") > 0).groupBy("set_id", "set_id2").agg(F.min("n").alias("rep")), "representatives")
-    rows = cut(full.join(reps, full["n"] == reps["rep"], "left_semi").select("n", "block", "sketch"), "reps")
+    reps = cut(full.filter("z > 0").groupBy("set_id", "set_id2").agg(F.min_by(F.struct("n", "id", "block"), "n").alias("r")).select("set_id", "set_id2", F.col("r.n").alias("rep"), F.col("r.id").alias("id"), F.col("r.block").alias("block")), "representatives")
+    rows = cut(items.select("id", "sketch").join(reps.select("id", F.col("rep").alias("n"), "block"), "id").select("n", "block", "sketch"), "reps")
+    reps = reps.select("set_id", "set_id2", "rep")
     banded = cut(rows.mapInArrow(_band_rows, "n long, block long, bands array<long>, signs binary"), "banded")
     b = banded.select("n", F.explode(F.transform("bands", lambda h, band: F.xxhash64("block", band, h))).alias("bucket"))
     shared = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     m, n = cut_counted(hot_join(b, shared, ["bucket"]).filter("c > 1").drop("c"), "members", **count)
     hot = [k for (k,) in hot_keys(m, ["bucket"], HOT_BUCKET, n["rows"])]
-    salt = F.when(F.col("bucket").isin(hot), F.pmod(F.xxhash64("n"), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
+    is_hot = F.col("bucket").isin(hot) if hot else F.lit(False)
+    salt = F.when(is_hot, F.pmod(F.xxhash64("n"), F.lit(SALTS))).otherwise(0)
     rows_in = m.join(banded.select("n", "signs"), "n").withColumn("part", F.xxhash64("bucket", salt))
-    first = rows_in.select("part", "n", "signs").repartition("part").sortWithinPartitions("part", "n").mapInArrow(_leaders, "n long, lead long, part long")
+    first = rows_in.select("part", "n", is_hot.alias("hot"), "signs").repartition("part").sortWithinPartitions("part", "n").mapInArrow(_leaders, "n long, lead long, part long")
     first = cut(first, "leaders")
     if hot:
         parts = m.filter(F.col("bucket").isin(hot)).select("n", "bucket", F.xxhash64("bucket", salt).alias("part"))
-        again = first.filter("lead is null").join(parts, ["n", "part"]).join(banded.select("n", "signs"), "n").select("bucket", "n", "signs")
+        again = first.filter("lead is null").join(parts, ["n", "part"]).join(banded.select("n", "signs"), "n").select("bucket", "n", F.lit(False).alias("hot"), "signs")
         first = first.unionByName(again.repartition("bucket").sortWithinPartitions("bucket", "n").mapInArrow(_leaders, "n long, lead long, part long"))
     pairs, n = cut_counted(first.filter(F.col("lead") != FOLLOWS).select("n", "lead").distinct(), "pairs", **count)
     links, n = cut_counted(_links(pairs, rows, threshold, n["rows"]), "links", **count)
