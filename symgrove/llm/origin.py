@@ -163,7 +163,7 @@ def shingles(tokens: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 _HEAD_TOKEN = re.compile(r"[a-z]*\d[0-9a-z]*|@?[^\W\d_ぁ-ヿ㐀-鿿]+|[ぁ-ヿ㐀-鿿]")
-_HEAD_WORDS = frozenset(w.lower() for w in _HEAD_TOKEN.findall(NOTICES)) - {"name"}
+_HEAD_WORDS = frozenset(w.lower() for w in _HEAD_TOKEN.findall(NOTICES)) - {"name", "tool", "compiler", "программой"}  # what may name a tool
 
 
 def head_shingles(line: str) -> frozenset[tuple[str, ...]]:

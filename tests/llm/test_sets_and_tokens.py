@@ -232,3 +232,21 @@ def test_hot_file_is_merged(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 10**9)
     want = {r.file_path: r for r in O.scan_files(s).collect()}
     assert got == want and len(got) == 41
+
+
+def test_notices_by_masked_shingles():
+    for line in ("Code generated by protoc-gen-go v1.2. DO NOT EDIT.", "Generated by the protocol buffer compiler. DO NOT EDIT!", "@generated 1d94fe226691 */", "AUTOGENERATED bridge 7eb", "自动生成的文件，请勿手工修改", "This file was automatically produced from schema/page.idl; changes will be lost.", "Ce fichier a été généré automatiquement, ne pas le modifier."):
+        assert O.is_notice(line)
+    for line in ("Code generated by hand is checked twice", "generated names are sorted first", "The created files are listed here.", "Licensed under the terms of the LICENSE file.", ""):
+        assert not O.is_notice(line)
+
+
+def test_signatures_estimate_similarity():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for j in (0.5, 0.8, 0.95):
+        u = rng.integers(-(2**31), 2**31, 3000).astype(np.int32)
+        k = int(3000 * j)
+        a, b = (np.frombuffer(S.bands(np.sort(x))[1], dtype=np.uint8) for x in (u[: k + (3000 - k) // 2], np.concatenate([u[:k], u[k + (3000 - k) // 2 :]])))
+        assert abs((a == b).mean() - j) < 4 * (j * (1 - j) / S.SIGNS) ** 0.5 + 0.01
