@@ -26,6 +26,13 @@ def _parts(side: DataFrame, name: str, rows: int) -> DataFrame:
     return cut(side.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(name)), "parts")
 
 
+def _round6(x: np.ndarray) -> np.ndarray:
+    """Six places as SQL's ``round`` gives them: halves go up, where numpy goes to the even digit. Not for negative values."""
+    y = x * 1e6
+    whole = np.floor(y)
+    return (whole + (y - whole >= 0.5)) / 1e6
+
+
 def _overlaps(threshold: float):
     """Links of two groups of sets: an inverted index of one side, read once for each row of the other; overlaps are counted by the row."""
 
@@ -48,7 +55,7 @@ def _overlaps(threshold: float):
             out.append((np.full(len(hit), i), hit, sim[hit]))
         i, j, sim = (np.concatenate([x[k] for x in out]) if out else np.zeros(0) for k in range(3))
         i, j = pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64))
-        cols = [a.column("id").take(i), b.column("id").take(j), a.column("n").take(i), b.column("n").take(j), pa.array(np.round(sim, 6))]
+        cols = [a.column("id").take(i), b.column("id").take(j), a.column("n").take(i), b.column("n").take(j), pa.array(_round6(sim))]
         return pa.table([x.cast(t) for x, t in zip(cols, [pa.int64()] * 4 + [pa.float64()])], names=[c.split()[0] for c in _PAIRS.split(", ")])
 
     return run

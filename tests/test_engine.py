@@ -241,6 +241,22 @@ def test_production_links_are_registered(spark, data):
     assert min(got) >= I.LINK_THRESHOLD == 0.05 and any(x < 0.3 for x in got)
 
 
+def test_strengths_are_rounded_as_in_sql(spark):
+    import duckdb
+
+    sets, pairs = {"left": [], "right": []}, []
+    for union in (128, 640):  # of the first odd overlaps are halves at the sixth place, of the second halves that floats do not hold
+        half = [f"t{k}" for k in range(union // 2)]
+        sets["left"].append((union, str(union), half))
+        for both in range(1, union // 2, 2):
+            sets["right"].append((1000 * union + both, str(union), half[:both] + [f"x{k}" for k in range(union // 2)]))
+            pairs.append(f"({union}, {both})")
+    want = {(u, 1000 * u + i): r for u, i, r in duckdb.sql(f"select u, i, round(i / u, 6) from (values {', '.join(pairs)}) t(u, i)").fetchall()}
+    left, right = (spark.createDataFrame(sets[k], "id long, repo string, tokens array<string>") for k in ("left", "right"))
+    got = {(r.left_id, r.right_id): r.strength for r in L.similarity_join(left, right, 1e-6, by="repo").collect()}
+    assert got == want and got[128, 128009] == 0.070313
+
+
 def test_all_bases_are_ancestors(spark):
     e = [(3, 1), (3, 2), (4, 3), (2, 5), (6, 7), (7, 6), (8, 6), (9, 9), (10, 9), (4, 5), (11, 0)]
     edges = spark.createDataFrame([(a, b, "inherits:x", None) for a, b in e + e[:2]] + [(1, 12, "calls:x", None)], "source_id long, target_id long, edge_type string, edge_kind string")
