@@ -14,6 +14,7 @@ lines that hold the masked shingles of a labelled one.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -91,30 +92,33 @@ Archivo generado automáticamente por NAME. No editar.
 NOTICE_SHARE = 0.8
 _LEAD = re.compile(r"\s*(?://|#|/\*|\"\"\"|''')[!/*]*\s*(.*)")
 _STRINGS = r'[rRbBuUfF]?""".*?"""|[rRbBuUfF]?\'\'\'.*?\'\'\'|R"\(.*?\)"|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`'
-_TOKEN = re.compile(rf"//[^\n]*|/\*.*?\*/|{_STRINGS}|\w[\w.]*(?<=\d)\b|\w+|[^\w\s]", re.S)
-_TOKEN_PY = re.compile(rf"\#[^\n]*|{_STRINGS}|\w[\w.]*(?<=\d)\b|\w+|[^\w\s]", re.S)
+#: Most tokens are a word that no dot or quote follows, or a sign that begins nothing longer; they are tried first, and blanks end there.
+_FAST = r"""\w++(?![."'])|[^\w\s"'`/\#]|(?=\S)"""
+_TOKEN = re.compile(rf"{_FAST}(?://[^\n]*|/\*.*?\*/|{_STRINGS}|\w[\w.]*(?<=\d)\b|\w+|[^\w\s])", re.S)
+_TOKEN_PY = re.compile(rf"{_FAST}(?:\#[^\n]*|{_STRINGS}|\w[\w.]*(?<=\d)\b|\w+|[^\w\s])", re.S)
 #: Words of the languages that stay unmasked.
 KEYWORDS = frozenset(
     "if else for while do switch case return break continue function var let const class struct enum union public private protected static final void int float double char bool boolean long short unsigned signed def self None True False null true false nullptr new delete this template typename namespace using import export from package func type interface extends implements override virtual inline auto try catch throw throws finally lambda yield with as in not and or is pass raise go defer range chan map async await".split()
 )
 #: Masked tokens: string, number, identifier.
 STRING, NUMBER, IDENT = 1, 2, 3
-class Vocabulary:
+
+
+class Vocabulary(dict):
     """Numbers of the tokens met in this process, with what is known of each; emptied when it is full."""
 
     FULL = 400_000
     FIELDS = ("masked", "plain", "lit", "lit_chars", "ident", "ident_chars", "comma")
 
     def __init__(self):
-        self.number: dict[str, int] = {}
-        self.table = np.zeros((len(self.FIELDS), 1024), dtype=np.int64)
-        self.n = 1  # 0 stands for comments
+        self.rows = [(0,) * len(self.FIELDS)]  # 0 stands for comments
+        self.table = np.zeros((len(self.FIELDS), 0), dtype=np.int64)
 
-    def add(self, t: str) -> None:
+    def __missing__(self, t: str) -> int:
         c = t[0]
         if t.startswith(("//", "/*")) or (c == "#" and len(t) > 1):
-            self.number[t] = 0
-            return
+            self[t] = 0
+            return 0
         plain = zlib.crc32(t.encode()) + 4
         if c in "\"'`" or (len(t) > 2 and t[-1] in "\"'"):
             row = (STRING, plain, 1, len(t) if len(t) >= 40 and " " not in t else 0, 0, 0, 0)
@@ -124,16 +128,16 @@ class Vocabulary:
             row = (IDENT, plain, 0, 0, 1, len(t), 0)
         else:
             row = (plain, plain, 0, 0, 0, 0, int(t == ","))
-        if self.n == self.table.shape[1]:
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
-        self.table[:, self.n] = row
-        self.number[t] = self.n
-        self.n += 1
+        self[t] = n = self.table.shape[1] + len(self.rows)
+        self.rows.append(row)
+        return n
 
-    def numbers(self, tokens: list[str]) -> list[int]:
-        for t in set(tokens).difference(self.number):
-            self.add(t)
-        return list(map(self.number.__getitem__, tokens))
+    def known(self, numbers: np.ndarray) -> dict[str, np.ndarray]:
+        """What is known of each token, by field."""
+        if self.rows:
+            self.table = np.concatenate([self.table, np.array(self.rows, dtype=np.int64).T], axis=1)
+            self.rows = []
+        return {c: row[numbers] for c, row in zip(self.FIELDS, self.table)}
 
 
 _vocabulary = Vocabulary()
@@ -148,18 +152,20 @@ def distinct(a: np.ndarray) -> np.ndarray:
     return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
 
 
-def shingles(tokens: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Distinct int32 hashes of the runs of five tokens within one text each; ``text`` numbers the tokens' texts."""
-    n = len(tokens) - SHINGLE + 1
-    if n < 1:
-        return np.zeros(0, dtype=np.int32)
-    h = np.zeros(n, dtype=np.uint64)
+def shingles(tokens: np.ndarray, text: np.ndarray, owner: np.ndarray, n: int) -> list[np.ndarray]:
+    """Distinct int32 hashes, sorted, of the runs of five tokens within one text each, for each of ``n`` files; ``text`` numbers the tokens' texts, ``owner`` has the file of each text."""
+    m = max(0, len(tokens) - SHINGLE + 1)
+    h = np.zeros(m, dtype=np.uint64)
     for j in range(SHINGLE):
-        h += tokens[j : j + n] * _POW[j]
-    h = h[text[:n] == text[SHINGLE - 1 :]]
+        h += tokens[j : j + m] * _POW[j]
+    whole = text[:m] == text[len(text) - m :]
+    h, file = h[whole], owner[text[:m][whole]]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    return distinct((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
+    # file above hash, the sign bit turned over so that hashes are sorted as int32
+    key = distinct((file.astype(np.uint64) << np.uint64(32)) | ((h >> np.uint64(32)) ^ np.uint64(2**31)))
+    ends = np.searchsorted(key, np.arange(1, n, dtype=np.uint64) << np.uint64(32))
+    return np.split((key.astype(np.uint32) ^ np.uint32(2**31)).view(np.int32), ends)
 
 
 _HEAD_TOKEN = re.compile(r"[a-z]*\d[0-9a-z]*|@?[^\W\d_ぁ-ヿ㐀-鿿]+|[ぁ-ヿ㐀-鿿]")
@@ -197,48 +203,77 @@ def is_notice(line: str) -> bool:
 
 
 _SUMS = ("n_rows", "tokens", "lit", "lit_chars", "ident", "ident_chars", "chars", "spaces", "lines", "notices")
-_FILE = "repo string, file_path string, " + ", ".join(f"{c} long" for c in _SUMS) + ", masked array<int>, plain array<int>"
+_FILE = "repo string, file_path string, " + ", ".join(f"{c} long" for c in _SUMS) + ", masked array<int>, plain array<int>, text_id binary"
 
 
 class _File:
-    """Running state of one file: sums, the tokens not yet folded (bounded), and the whole sets of its shingles."""
-
-    KEPT = 100_000
+    """Running state of one file: sums, and the whole sets of the shingles folded so far."""
 
     def __init__(self, key):
-        global _vocabulary
-        if _vocabulary.n > Vocabulary.FULL:
-            _vocabulary = Vocabulary()
         self.key, self.n = key, dict.fromkeys(_SUMS, 0)
         self.split = (_TOKEN_PY if key[1].endswith((".py", ".pyi")) else _TOKEN).findall
+        self.kept = 0
+        self.sets = [np.zeros(0, dtype=np.int32)] * 2
+
+
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, sets)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets), pa.int32()))
+
+
+def _text_id(plain: np.ndarray) -> bytes:
+    """128 bits that stand for a text, so that texts are counted exactly at any number of files."""
+    return hashlib.blake2b(plain.tobytes(), digest_size=16).digest()
+
+
+class _Files:
+    """Files of a task that are not handed on yet, and their tokens not yet folded (bounded); the texts of all these files are folded at once."""
+
+    KEPT, FILES = 100_000, 2_000
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.files: list[_File] = []
         self.tokens: list[int] = []
         self.ends: list[int] = []
-        self.sets = [np.zeros(0, dtype=np.int32)] * 2
+        self.owner: list[int] = []
+
+    def full(self) -> bool:
+        return len(self.tokens) > self.KEPT or len(self.files) >= self.FILES or len(_vocabulary) > Vocabulary.FULL
 
     def add(self, code: str) -> None:
-        n, lines = self.n, code.count("\n") + 1
+        """A text of the last file."""
+        file = self.files[-1]
+        n, lines = file.n, code.count("\n") + 1
         first = _LEAD.match(code)
         n["n_rows"] += 1
         n["chars"] += len(code)
         n["lines"] += lines
         n["spaces"] += code.count(" ") + code.count("\t") + lines - 1
         n["notices"] += bool(first and is_notice(first[1]))
-        self.tokens += _vocabulary.numbers(self.split(code))
+        tokens = file.split(code)
+        self.tokens += map(_vocabulary.__getitem__, tokens)
         self.ends.append(len(self.tokens))
-        if len(self.tokens) > self.KEPT:
+        self.owner.append(len(self.files) - 1)
+        file.kept += len(tokens)
+        if file.kept > self.KEPT:
             self.fold()
 
     def fold(self) -> None:
         """Work off the texts kept so far."""
         if self.ends:
-            t = np.array(self.tokens, dtype=np.int64)
+            k = len(self.files)
+            t, owner = np.array(self.tokens, dtype=np.int64), np.array(self.owner, dtype=np.int64)
             text = np.repeat(np.arange(len(self.ends)), np.diff([0, *self.ends]))
             t, text = t[t > 0], text[t > 0]
-            known = dict(zip(Vocabulary.FIELDS, _vocabulary.table[:, t]))
-            self.n["tokens"] += len(t)
-            for c in ("lit", "lit_chars", "ident", "ident_chars"):
-                self.n[c] += int(known[c].sum())
-            self.n["lit_chars"] += min(int(known["comma"].sum()), int(known["lit"].sum()))
+            known, file = _vocabulary.known(t), owner[text]
+            sums = {"tokens": np.bincount(file, minlength=k)} | {c: np.bincount(file, known[c], k).astype(np.int64) for c in ("lit", "lit_chars", "ident", "ident_chars")}
+            sums["lit_chars"] += np.minimum(np.bincount(file, known["comma"], k).astype(np.int64), sums["lit"])
+            for c, x in sums.items():
+                for f, v in zip(self.files, x.tolist()):
+                    f.n[c] += v
             # texts of fewer tokens than a shingle are filled up, so that they count as one
             size = np.bincount(text, minlength=len(self.ends))
             short = np.flatnonzero((size > 0) & (size < SHINGLE))
@@ -247,37 +282,44 @@ class _File:
             text = np.concatenate([text, fill])[order]
             for i, c in enumerate(("masked", "plain")):
                 tokens = np.concatenate([known[c], np.zeros(len(fill), dtype=np.int64)])[order].astype(np.uint64)
-                now = shingles(tokens, text)
-                self.sets[i] = distinct(np.concatenate([self.sets[i], now])) if len(self.sets[i]) else now
-        self.tokens, self.ends = [], []
-
-    def row(self):
+                for f, now in zip(self.files, shingles(tokens, text, owner, k)):
+                    f.sets[i] = distinct(np.concatenate([f.sets[i], now])) if len(f.sets[i]) else now
+        self.tokens, self.ends, self.owner = [], [], []
+        for f in self.files:
+            f.kept = 0
+
+    def rows(self) -> pa.RecordBatch:
+        """All files, which are complete; none are kept."""
+        global _vocabulary
         self.fold()
-        return (*self.key, *self.n.values(), self.sets[0].tolist(), self.sets[1].tolist())
+        keys = [pa.array([f.key[i] for f in self.files], pa.string()) for i in range(2)]
+        sums = [pa.array([f.n[c] for f in self.files], pa.int64()) for c in _SUMS]
+        sets = [[f.sets[i] for f in self.files] for i in range(2)]
+        names = [c.split()[0] for c in _FILE.split(", ")]
+        out = pa.RecordBatch.from_arrays([*keys, *sums, *map(_lists, sets), pa.array(map(_text_id, sets[1]), pa.binary())], names=names)
+        if len(_vocabulary) > Vocabulary.FULL:
+            _vocabulary = Vocabulary()
+        self.clear()
+        return out
 
 
 def _scan_files(batches):
-    names = [c.split()[0] for c in _FILE.split(", ")]
-    types = [pa.string(), pa.string(), *[pa.int64()] * len(_SUMS), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    now = _Files()
+    for b in batches:
+        for repo, path, code in zip(*(b.column(i).to_pylist() for i in range(3))):
+            if not now.files or now.files[-1].key != (repo, path):
+                if now.full():
+                    yield now.rows()
+                now.files.append(_File((repo, path)))
+            now.add(code or "")
+    if now.files:
+        yield now.rows()
 
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    cur, done = None, []
+def _with_text_id(batches):
     for b in batches:
-        for repo, path, code in zip(*(b.column(i).to_pylist() for i in range(3))):
-            if cur is None or cur.key != (repo, path):
-                if cur is not None:
-                    done.append(cur.row())
-                    if len(done) >= 500:
-                        yield batch(done)
-                        done = []
-                cur = _File((repo, path))
-            cur.add(code or "")
-    if cur is not None:
-        done.append(cur.row())
-    if done:
-        yield batch(done)
+        plain = b.column(b.num_columns - 1)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_text_id(np.array(x.values, dtype=np.int32)) for x in plain], pa.binary())], names=[*b.schema.names, "text_id"])
 
 
 def scan_files(symbols: DataFrame) -> DataFrame:
@@ -299,7 +341,7 @@ def scan_files(symbols: DataFrame) -> DataFrame:
     files = cut(files, "files")
     union = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("masked", "plain")]  # SALTS lists
     big = F.concat_ws("\0", "repo", "file_path").isin(["\0".join(x) for x in hot])
-    merged = files.filter(big).groupBy("repo", "file_path").agg(*[F.sum(c).alias(c) for c in _SUMS], *union)
+    merged = files.filter(big).groupBy("repo", "file_path").agg(*[F.sum(c).alias(c) for c in _SUMS], *union).mapInArrow(_with_text_id, _FILE)
     return files.filter(~big).unionByName(merged)
 
 
@@ -327,8 +369,7 @@ def file_origins(symbols: DataFrame) -> DataFrame:
     n_files = n["rows"]
     cls = similar_classes(files.select("id", F.lit("").alias("block"), F.col("masked").alias("sketch")), total=n_files).withColumnRenamed("cls", "class_id")
     vendor, gen = F.col("file_path").rlike(VENDOR_PLACE), F.col("file_path").rlike(GENERATED_NAME) | F.col("file_path").rlike(GENERATED_PLACE)
-    # a text is known by two hashes, so that texts are counted exactly at any number of files
-    f = files.withColumns({"text_id": F.struct(F.xxhash64("plain").alias("h"), F.xxhash64(F.lit(1), "plain").alias("i")), "vendor_place": vendor, "gen_place": gen, "notice": F.col("notices") > 0})
+    f = files.withColumns({"vendor_place": vendor, "gen_place": gen, "notice": F.col("notices") > 0})
     f = cut(f.drop("masked", "plain").join(cls, "id"), "classed")
     # what a cluster spans and holds; per text and repo first, so that a large cluster is counted in parts
     sums = ("chars", "lines", "spaces", "lit_chars", "ident", "ident_chars")

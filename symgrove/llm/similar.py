@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgrove.operators.components import connected_components
@@ -36,8 +36,10 @@ def bands(sketch: np.ndarray) -> tuple[np.ndarray, bytes]:
     """
     x = sketch.view(np.uint32)
     sig = np.full(ROWS * BANDS, np.iinfo(np.uint32).max, dtype=np.uint32)
-    for i in range(0, len(x), 1024):
-        np.minimum(sig, (x[i : i + 1024, None] * _MUL + _ADD).min(axis=0), out=sig)
+    for i in range(0, len(x), 128):  # what fits a core's cache
+        now = x[i : i + 128, None] * _MUL
+        now += _ADD
+        np.minimum(sig, now.min(axis=0), out=sig)
     wide = sig.astype(np.uint64)
     out = np.zeros(BANDS, dtype=np.uint64)
     for r in range(ROWS):
@@ -47,10 +49,31 @@ def bands(sketch: np.ndarray) -> tuple[np.ndarray, bytes]:
     return out.astype(np.int64), signs.tobytes()
 
 
+def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Members of a column of sets, one after the other, and where each set ends (from 0 on)."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *column.value_lengths().to_pylist()])
+
+
 def _band_rows(batches):
     for b in batches:
-        got = [bands(np.array(x, dtype=np.int32)) for x in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0].tolist() for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.binary())], names=["n", "block", "bands", "signs"])
+        x, ends = _sets(b.column(2))
+        got = [bands(x[i:j]) for i, j in zip(ends[:-1], ends[1:])]
+        out = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([g[0] for g in got] or [np.zeros(0, dtype=np.int64)])), BANDS).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), out, pa.array([g[1] for g in got], pa.binary())], names=["n", "block", "bands", "signs"])
+
+
+def _signs(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, SIGNS)
+
+
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Share of the values in which the signatures ``x`` and ``y`` (a row of bytes each) agree."""
+    same = np.equal(x, y).view(np.uint64).sum(axis=1)  # bytes of 0 or 1: SIGNS / 8 of them add up within a byte
+    return same.view(np.uint8).reshape(-1, 8).sum(axis=1) / SIGNS
+
+
+#: Buckets of no more rows are compared pair by pair, those of one batch at once.
+SMALL = 32
 
 
 def _leaders(batches):
@@ -58,24 +81,47 @@ def _leaders(batches):
     once for each bucket with rows that follow a leader a row that says so (lead is FOLLOWS).
 
     A row is compared with all leaders met so far at once; it becomes a leader too
-    unless one surely is like it. Only the leaders of one bucket are kept.
+    unless one surely is like it. Only the leaders of one bucket are kept. Small buckets
+    that lie within a batch are compared together; where none of their rows surely
+    is like another, all are leaders and nothing is left to do.
     """
     part, lead, n_lead, told = None, np.zeros((64, SIGNS), dtype=np.uint8), 0, False
     ids = np.zeros(64, dtype=np.int64)
     for b in batches:
-        out_n, out_lead, out_part = [], [], []
-        sig = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint8).reshape(-1, SIGNS)
-        for i, (p, n, hot) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)))):
+        if not b.num_rows:
+            continue
+        sig = _signs(b.column(3))
+        parts, ns, hots = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        starts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))
+        size = np.diff([*starts, len(parts)])
+        # the first bucket may have begun in the batch before, the last may go on in the next
+        alone = (size <= SMALL) & ~hots[starts]
+        alone[[0, -1]] = False
+        at = np.repeat(np.where(alone, np.arange(len(starts)), -1), size)
+        first, second = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for d in range(1, int(size[alone].max(initial=1))):
+            same = np.flatnonzero((at[d:] == at[:-d]) & (at[d:] >= 0))
+            agree = _agree(sig[same], sig[same + d])
+            first.append(same[agree >= NEAR])
+            second.append(same[agree >= NEAR] + d)
+            alone[at[same[agree >= SURE]]] = False
+        first, second = np.concatenate(first), np.concatenate(second)
+        done = alone[at[first]]
+        out_n, out_lead = ns[second[done]].tolist(), ns[first[done]].tolist()
+        out_part = [None] * len(out_n)
+        todo = np.flatnonzero(~np.repeat(alone, size))
+        for i, p, n, hot in zip(todo.tolist(), parts[todo].tolist(), ns[todo].tolist(), hots[todo].tolist()):
             if p != part:
                 part, n_lead, told = p, 0, False
             sure = False
             if n_lead:
-                agree = (lead[:n_lead] == sig[i]).mean(axis=1)
+                agree = _agree(lead[:n_lead], sig[i])
                 near = np.flatnonzero(agree >= NEAR)
-                out_n += [n] * len(near)
-                out_lead += ids[near].tolist()
-                out_part += [None] * len(near)
-                sure = bool(len(near)) and agree.max() >= SURE
+                if len(near):
+                    out_n += [n] * len(near)
+                    out_lead += ids[near].tolist()
+                    out_part += [None] * len(near)
+                    sure = agree.max() >= SURE
             if sure and not told:
                 told = True
                 out_n.append(n)
@@ -96,15 +142,34 @@ def _leaders(batches):
 def _near(batches):
     """The pairs (n, lead, s1, s2) whose signatures agree in NEAR of their values."""
     for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint8).reshape(-1, SIGNS) for i in (2, 3))
-        near = pa.array((x == y).mean(axis=1) >= NEAR)
+        near = pa.array(_agree(*(_signs(b.column(i)) for i in (2, 3))) >= NEAR)
         yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], names=["n", "lead"])
 
 
-def jaccard(a: str, b: str) -> Column:
-    """Similarity of two columns of sets; 0 where both are empty."""
-    inter = F.size(F.array_intersect(a, b))
-    return F.when(F.size(a) + F.size(b) == 0, 0.0).otherwise(inter / (F.size(a) + F.size(b) - inter))
+#: Members of sets that are sorted at once, unless one pair has more.
+CELLS = 2_000_000
+
+
+def _verified(threshold: float):
+    """The pairs (n, lead, s1, s2) whose sets, neither of them empty, have a similarity of ``threshold``."""
+
+    def run(batches):
+        for b in batches:
+            (x, ex), (y, ey) = _sets(b.column(2)), _sets(b.column(3))
+            ends, i, found = ex + ey, 0, []
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + CELLS, "right")) - 1)
+                a, c = np.diff(ex[i : j + 1]), np.diff(ey[i : j + 1])
+                pair = np.concatenate([np.repeat(np.arange(j - i), a), np.repeat(np.arange(j - i), c)])
+                members = np.concatenate([x[ex[i] : ex[j]], y[ey[i] : ey[j]]]).view(np.uint32)
+                key = np.sort((pair.astype(np.uint64) << np.uint64(32)) | members)
+                both = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(32)).astype(np.int64), minlength=j - i)
+                found.append(both / (a + c - both) >= threshold)
+                i = j
+            like = pa.array(np.concatenate(found or [np.zeros(0, dtype=bool)]))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(like), b.column(1).filter(like)], names=["n", "lead"])
+
+    return run
 
 
 def _links(pairs: DataFrame, rows: DataFrame, threshold: float, total: int) -> DataFrame:
@@ -114,11 +179,11 @@ def _links(pairs: DataFrame, rows: DataFrame, threshold: float, total: int) -> D
     sized = hot_join(pairs, size.select(F.col("n").alias("lead"), F.col("z").alias("z2")), ["lead"], total=total).join(size, "n")
     fits, n = cut_counted(sized.filter((F.col("z") >= threshold * F.col("z2")) & (F.col("z2") >= threshold * F.col("z"))).select("n", "lead"), "fits", rows=F.count(F.lit(1)))
     both = hot_join(fits, rows.select(F.col("n").alias("lead"), F.col("sketch").alias("s2")), ["lead"], total=n["rows"]).join(rows.select("n", F.col("sketch").alias("s1")), "n")
-    return both.filter(jaccard("s1", "s2") >= threshold).select("n", "lead")
+    return both.select("n", "lead", "s1", "s2").mapInArrow(_verified(threshold), "n long, lead long")
 
 
 def similar_classes(items: DataFrame, threshold: float = THRESHOLD, total: int | None = None) -> DataFrame:
-    """id, cls of every row of ``items`` (id unique, block, sketch ARRAY<INT>: the whole set).
+    """id, cls of every row of ``items`` (id unique, block, sketch ARRAY<INT>: the whole set, each member once).
 
     Rows are linked if they share a block and a band and their similarity is at
     least ``threshold``; classes are the connected components of the links, named
@@ -140,11 +205,11 @@ def similar_classes(items: DataFrame, threshold: float = THRESHOLD, total: int |
     reps = cut(full.filter("z > 0").groupBy("set_id", "set_id2").agg(F.min_by(F.struct("n", "id", "block"), "n").alias("r")).select("set_id", "set_id2", F.col("r.n").alias("rep"), F.col("r.id").alias("id"), F.col("r.block").alias("block")), "representatives")
     rows = cut(items.select("id", "sketch").join(reps.select("id", F.col("rep").alias("n"), "block"), "id").select("n", "block", "sketch"), "reps")
     reps = reps.select("set_id", "set_id2", "rep")
-    banded = cut(rows.mapInArrow(_band_rows, "n long, block long, bands array<long>, signs binary"), "banded")
+    banded, n = cut_counted(rows.mapInArrow(_band_rows, "n long, block long, bands array<long>, signs binary"), "banded", **count)
     b = banded.select("n", F.explode(F.transform("bands", lambda h, band: F.xxhash64("block", band, h))).alias("bucket"))
-    shared = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    m, n = cut_counted(hot_join(b, shared, ["bucket"]).filter("c > 1").drop("c"), "members", **count)
-    hot = [k for (k,) in hot_keys(m, ["bucket"], HOT_BUCKET, n["rows"])]
+    shared = cut(b.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "shared")
+    m, n = cut_counted(hot_join(b, shared, ["bucket"], total=n["rows"] * BANDS, counts=shared).filter("_n > 1").drop("_n"), "members", **count)
+    hot = [k for (k,) in hot_keys(m, ["bucket"], HOT_BUCKET, n["rows"], counts=shared)]
     is_hot = F.col("bucket").isin(hot) if hot else F.lit(False)
     salt = F.when(is_hot, F.pmod(F.xxhash64("n"), F.lit(SALTS))).otherwise(0)
     rows_in = m.join(banded.select("n", "signs"), "n").withColumn("part", F.xxhash64("bucket", salt))

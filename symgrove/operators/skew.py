@@ -131,22 +131,24 @@ def frequent_keys(per_key: DataFrame, total: int, share: float = 0.01) -> DataFr
     return per_key.filter(F.col("n_rows") >= share * total) if total else per_key.limit(0)
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, total: int | None = None) -> list:
-    """Keys (no NULL in them) with at least ``share`` of the rows: at most 1/share of them. ``total`` is the number of rows, if it is known."""
+def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, total: int | None = None, counts: DataFrame | None = None) -> list:
+    """Keys (no NULL in them) with at least ``share`` of the rows: at most 1/share of them. ``total`` is the number of rows, if it is known, and
+    ``counts`` (keys, _n) the rows of each key that stands more than once."""
     total = df.count() if total is None else total
     if total < HOT_ROWS:
         return []
-    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return [tuple(r[k] for k in keys) for r in counts.filter(F.col("_n") >= max(2, share * total)).select(*keys).collect()]
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], share: float = HOT_SHARE, total: int | None = None) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], share: float = HOT_SHARE, total: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Left join on ``keys``, each of which stands at most once in ``right``.
 
     Rows of hot keys are joined by broadcasting the at most 1/share rows of
     ``right`` they need; rows with a NULL key match nothing and skip the shuffle;
     all others go through the ordinary join. ``left`` is read three times, so
-    it should be a table or cut before; ``total`` is the number of its rows, if known.
+    it should be a table or cut before; ``total`` and ``counts`` are those of :func:`hot_keys`, if known.
     """
     extra = [c for c in right.columns if c not in keys]
     no_key = F.lit(False)
@@ -154,7 +156,7 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], share: float =
         no_key = no_key | F.col(k).isNull()
     nulls = left.filter(no_key).select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in extra])
     rest = left.filter(~no_key)
-    hot = hot_keys(left, keys, share, total)
+    hot = hot_keys(left, keys, share, total, counts)
     if not hot:
         return rest.join(right, keys, "left").select(*left.columns, *extra).unionByName(nulls)
     schema = T.StructType([T.StructField(k, left.schema[k].dataType) for k in keys])

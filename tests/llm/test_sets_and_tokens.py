@@ -250,3 +250,86 @@ def test_signatures_estimate_similarity():
         k = int(3000 * j)
         a, b = (np.frombuffer(S.bands(np.sort(x))[1], dtype=np.uint8) for x in (u[: k + (3000 - k) // 2], np.concatenate([u[:k], u[k + (3000 - k) // 2 :]])))
         assert abs((a == b).mean() - j) < 4 * (j * (1 - j) / S.SIGNS) ** 0.5 + 0.01
+
+
+def test_texts_of_many_files_are_folded_at_once(monkeypatch):
+    import pyarrow as pa
+
+    rnd = random.Random(11)
+    rows = [("r", f"f{i // 3:03}." + ("py" if i // 3 % 2 else "cpp"), rnd.choice([code(rnd, 4), 'x = r"a b" + b.c1 # no', "a", "", None])) for i in range(600)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip("abc", r)) for r in rows[i : i + 170]], pa.schema([(c, pa.string()) for c in "abc"])) for i in range(0, 600, 170)]
+    table = lambda: [r for b in O._scan_files(iter(batches)) for r in b.to_pylist()]
+    calls, real = [], O.shingles
+    monkeypatch.setattr(O, "shingles", lambda *a: calls.append(1) or real(*a))
+    got = table()
+    assert len(calls) == 2 and len(got) == len({r[1] for r in rows})
+    monkeypatch.setattr(O._Files, "FILES", 1)  # each file by itself
+    assert table() == got and len(calls) == 2 + 2 * len(got)
+    assert all(r["masked"] == sorted(set(r["masked"])) for r in got) and any(r["masked"] for r in got) and not all(r["masked"] for r in got)
+
+
+def test_fast_tokens_are_the_tokens():
+    import re
+
+    rnd = random.Random(12)
+    bits = ["a", "r", "b1", "f", "R", "x.y2", "1.5e3", "7", ".", "'", '"', "`", '"""', "'''", "//", "/*", "*/", "#", "\\", "\n", " ", "\t", "(", ")", ",", "_", "é", "日本", "-"]
+    slow = [re.compile(p.pattern[len(O._FAST) :], re.S) for p in (O._TOKEN, O._TOKEN_PY)]
+    for _ in range(4000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randint(1, 25)))
+        for fast, p in zip((O._TOKEN, O._TOKEN_PY), slow):
+            assert fast.findall(text) == p.findall(text)
+
+
+def test_small_buckets_are_compared_together(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(13)
+    rows, n = [], 0
+    for part in range(300):  # of each bucket some rows are near the first and a few surely like it
+        base = rnd.integers(0, 256, S.SIGNS, dtype=np.uint8)
+        for _ in range(int(rnd.integers(2, 45 if part % 50 == 0 else 6))):
+            x = base.copy()
+            k = int(rnd.choice([0, 12, 30, 45, 120], p=[0.04, 0.06, 0.3, 0.3, 0.3]))
+            x[rnd.permutation(S.SIGNS)[:k]] = rnd.integers(0, 256, k)
+            rows.append((part, n, part % 70 == 69, x.tobytes()))
+            n += 1
+    want, lead = set(), {}
+    for part, n, hot, x in rows:
+        agree = [(m, (np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean()) for m, y in lead.get(part, [])]
+        want |= {(n, m, None) for m, a in agree if a >= S.NEAR}
+        if any(a >= S.SURE for _, a in agree):
+            want |= {(S.FOLLOWS, part)}
+        else:
+            lead.setdefault(part, []).append((n, x))
+            want |= {(n, None, part)} if hot else set()
+    calls, real = [], S._agree
+    monkeypatch.setattr(S, "_agree", lambda x, y: calls.append(1) or real(x, y))
+    schema = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("hot", pa.bool_()), ("signs", pa.binary())])
+    for step in (400, 7, 1):
+        calls.clear()
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + step]), schema)], schema=schema) for i in range(0, len(rows), step)]
+        got = [(r["n"], r["lead"], r["part"]) for b in S._leaders(batches) for r in b.to_pylist()]
+        assert {(S.FOLLOWS, p) if m == S.FOLLOWS else (k, m, p) for k, m, p in got} == want
+        assert step < 400 or len(calls) < len(rows) / 2
+    assert {x[0] for x in want} >= {S.FOLLOWS} and any(x[1] is None for x in want if len(x) == 3)
+
+
+def test_pairs_are_verified_by_whole_sets(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(14)
+    rows = []
+    for i in range(300):
+        x = rnd.sample(range(-(2**31), 2**31), rnd.randint(1, 60))
+        y = [v for v in x if rnd.random() < 0.92] + rnd.sample(range(-(2**31), 2**31), rnd.randint(0, 8))
+        rows.append((i, -i, x, y or [5]))
+    rows += [(300, -300, [1, 2, 3, 4], [4, 3, 2, 1, 0]), (301, -301, [-1], [-1]), (302, -302, [1], [2])]  # 0.8 itself, and negative members
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 2 + [pa.list_(pa.int32())] * 2)], names=["n", "lead", "s1", "s2"])
+    want = [(n, m) for n, m, x, y in rows if len({*x} & {*y}) / len({*x} | {*y}) >= 0.8]
+    for cells in (S.CELLS, 100, 1):
+        monkeypatch.setattr(S, "CELLS", cells)
+        got = [(r["n"], r["lead"]) for b in S._verified(0.8)([batch.slice(0, 100), batch.slice(100), batch.slice(0, 0)]) for r in b.to_pylist()]
+        assert got == want and (300, -300) in got and (301, -301) in got and (302, -302) not in got
+    assert S._agree(np.ones((1, S.SIGNS), np.uint8), np.ones(S.SIGNS, np.uint8))[0] == 1.0
